@@ -253,7 +253,8 @@ def pieces(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS
     cut = laid.select(
         "*", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("in_block")
     ).withColumnRenamed("source", "of")
-    met = slots.join(cut, F.col("source").eqNullSafe(F.col("of")) & (F.col("number") == F.col("in_block")))
+    # The slots' number isn't known to the planner, which would take them for a few rows and broadcast them.
+    met = slots.hint("merge").join(cut, F.col("source").eqNullSafe(F.col("of")) & (F.col("number") == F.col("in_block")))
     begin = F.greatest(F.col("start"), F.col("number") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("number") * block + F.col("takes"))
     mixture = met.select(
