@@ -236,7 +236,9 @@ def plan(table: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS,
         _draw(block, shards, seed),
         "source string, shard long, first long, count long, size long, slots long, last long",
     )
-    slots = runs.repartition("source", "shard").mapInPandas(
+    # Runs are few bytes but many slots: without a number they would be merged into a few tasks.
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = runs.repartition(parts, "source", "shard").mapInPandas(
         _slots(block, seed), "source string, shard long, slot long, pass long, number long, takes long"
     )
     return sources, slots
