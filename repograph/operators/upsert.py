@@ -33,9 +33,11 @@ def upsert(
 
     columns = new.columns if existing is None else existing.columns
     names = [c for c in columns if c != order or c in key]
-    rows = staged(new, 1)
-    if existing is not None:
-        missing = [c for c in names if c not in new.columns]
+    missing = [c for c in names if c not in new.columns]
+    keep = {*keep, *missing}  # what the new rows don't tell stays as it is
+    if existing is None:
+        rows = staged(new, 1)
+    else:
         full = new.select("*", *(F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in missing))
         rows = staged(existing, 0).unionByName(staged(full, 1))
     out = []

@@ -28,9 +28,9 @@ def vulnerabilities(advisories: DataFrame) -> DataFrame:
         F.get(F.filter(d["aliases"], lambda a: a.startswith("CVE-")), F.lit(0)).alias("cve"),
         F.coalesce(d["aliases"], F.array().cast("array<string>")).alias("aliases"),
         F.left(F.coalesce(d["summary"], F.lit("")), F.lit(SUMMARY_CHARS)).alias("summary"),
-        d["database_specific.severity"].alias("severity"),
+        d["database_specific"]["severity"].alias("severity"),
         F.try_element_at(scores, F.lit(-1)).alias("cvss"),
-        F.coalesce(d["database_specific.cwe_ids"], F.array().cast("array<string>")).alias("cwes"),
+        F.coalesce(d["database_specific"]["cwe_ids"], F.array().cast("array<string>")).alias("cwes"),
         d["published"].alias("published"), d["modified"].alias("modified"), d["withdrawn"].alias("withdrawn"),
     ).dropDuplicates(["id"])
 
