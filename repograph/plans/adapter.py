@@ -49,7 +49,7 @@ TABLES = {
                y.p_partkey % 5 <> 0 AS exported, CASE y.p_partkey % 4 WHEN 0 THEN 'codegraph,gitnexus,graphify' WHEN 1 THEN 'codegraph' WHEN 2 THEN 'codegraph,graphify' ELSE 'gitnexus' END AS ext,
                y.p_partkey AS pk, f.fk, f.module, f.dir, f.ecosystem, f.nk
         FROM (
-            SELECT p_partkey, p_partkey % (4 * n.ns) AS fk, 's' || CAST(p_partkey % 500 AS STRING) AS name,
+            SELECT p_partkey, p_partkey % (4 * n.ns) AS fk, 's' || CAST(p_partkey % (5 * n.ns) AS STRING) AS name,
                    CASE WHEN p_size % 5 = 0 THEN 'C' || CAST(p_partkey % 7 AS STRING) || '.' ELSE '' END || 's' || CAST(p_partkey AS STRING) AS qname,
                    CASE WHEN p_size % 5 = 0 THEN 'method' WHEN p_size % 5 = 1 THEN 'class' ELSE 'function' END AS kind
             FROM {part} CROSS JOIN (SELECT count(*) AS ns FROM {supplier}) n

@@ -32,6 +32,7 @@ BATCH = 5000
 class Graph:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None) -> None:
         self.spark, self.tables = spark, dict(tables or {})
+        self.memo: dict = {}  # what is derived from the tables as they are
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -43,6 +44,7 @@ class Graph:
     def __setitem__(self, name: str, df: DataFrame) -> None:
         """Puts df in the table's schema; columns it lacks are null."""
         schema = TABLES[name]
+        self.memo.clear()
         self.tables[name] = df.select(
             *((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)
         )
@@ -117,6 +119,7 @@ class Graph:
     def drop_repo(self, repos: DataFrame) -> Graph:
         """Deletes repos (a column id) with their files, symbols and all edges at these. Packages and refs stay."""
         ids = repos.select("id")
+        self.memo.clear()
         gone = {
             "Repo": ids,
             "File": self["File"].join(ids.withColumnRenamed("id", "repo"), "repo", "left_semi").select("id"),

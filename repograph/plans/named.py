@@ -12,6 +12,7 @@ from repograph.functions.ids import last_segment
 from repograph.operators import articulation, communities, cycles, rank, traverse
 from repograph.operators.components import strongly_connected
 from repograph.operators.link import prefixes
+from repograph.operators.numbering import numbered
 from repograph.operators.tables import written
 
 #: Fixed values that results must equal.
@@ -225,9 +226,12 @@ ORG = ("CALLS", "CALLS_CROSS_REPO", "IMPORTS_CROSS_REPO", "DECLARES")
 
 
 def org_graph(graph) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) of the undirected projection: symbols and files, calls, imports of symbols, declarations."""
-    nodes = graph["Symbol"].select("id").union(graph["File"].select("id"))
-    return graph.edges(*ORG).select("src", "dst"), nodes
+    """(edges, nodes) of the undirected projection: symbols and files, calls, imports of symbols, declarations.
+    Nodes are numbered, once for all algorithms that run on a graph."""
+    if "org" not in graph.memo:
+        nodes = graph["Symbol"].select("id").union(graph["File"].select("id"))
+        graph.memo["org"] = numbered(graph.edges(*ORG).select("src", "dst"), nodes)
+    return graph.memo["org"]
 
 
 def community_table(graph, **how) -> DataFrame:

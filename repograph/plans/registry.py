@@ -122,10 +122,10 @@ def queries() -> dict:
         "l07_import_lift": lambda s, d: link.imports_cross_repo(_graph(s, d), _graph(s, d)["RESOLVES_TO"]).select("src", "dst", "confidence", "via_module", "line", "context"),
         "l08_report": _plain(link.report),
         "g01_reach": lambda s, d: traverse.reach(_graph(s, d).edges("CALLS", "CALLS_CROSS_REPO"), s.createDataFrame([(changed(s, d),)], "id string"), 6),
-        "g05_communities": lambda s, d: named.community_table(_graph(s, d)),
-        "g06_betweenness": lambda s, d: named.betweenness_table(_graph(s, d)).select("id", F.round("betweenness", 4).alias("betweenness")),
+        "g05_communities": lambda s, d: _algorithm(s, d, "community_table"),
+        "g06_betweenness": lambda s, d: _algorithm(s, d, "betweenness_table").select("id", F.round("betweenness", 4).alias("betweenness")),
         "g07_pagerank": lambda s, d: named.pagerank_table(_graph(s, d)).select("id", F.round("pagerank", 4).alias("pagerank")),
-        "g08_articulation": lambda s, d: named.articulation_table(_graph(s, d)),
+        "g08_articulation": lambda s, d: _algorithm(s, d, "articulation_table"),
         "v06_assessment": lambda s, d: _assessed(s, d)["AFFECTED_BY"].select("src", "dst", "package", "status", "declared"),
         "v_histogram": lambda s, d: vulnerabilities.histogram(_assessed(s, d)),
         "c06_scores": _scores,
