@@ -70,3 +70,13 @@ def attach(big: DataFrame, small: DataFrame, key: str, weight: str, total: int,
     keep = [F.col(c) for c in big.columns]
     return met.select(*keep, *(F.coalesce(F.col("__hot")[c], F.col("__cold")[c]).alias(c) for c in payload))
 
+
+def share_of(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return h / F.lit(2.0**64) + 0.5
+
+
+def enough(rows: int, total: int) -> float:
+    """The share of total that holds four times the wanted rows: a filter on hashes ahead of taking the least,
+    so that tasks send a sample's rows on, and not each as many as the whole sample has."""
+    return min(1.0, 4.0 * rows / max(1, total))
