@@ -217,7 +217,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> D
     runs, _ = plan(histogram, capacity)
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).select(
+    # The table of bases grows with the tasks: no broadcast, whatever its file's size says.
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("base") + F.col("seq")).alias("rank")
     )
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
