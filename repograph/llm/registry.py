@@ -65,8 +65,45 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+def _url_filter_sql() -> str:
+    """The ranks' rounds, one common table expression each."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    host = lambda x: f"translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}')"
+    ordered = sorted(urlfilter.RULES, key=lambda r: (len(r[0] + r[1]), r[0] + r[1]), reverse=True)
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in ordered) + " END"
+    said = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered) + " END"
+    d, rounds = urlfilter.DAMPING, urlfilter.ROUNDS
+    steps = "".join(
+        f"""r{k} AS MATERIALIZED (SELECT side, host, sum(rank) AS rank FROM (
+            SELECT e.side, e.dst AS host, r.rank / e.degree * {d} AS rank FROM e JOIN r{k - 1} r ON r.side = e.side AND r.host = e.src
+            UNION ALL SELECT side, host, rank * (1 - {d}) FROM r0) x GROUP BY side, host),
+        """
+        for k in range(1, rounds + 1)
+    )
+    return rf"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
+        l AS (SELECT page_id, {host("url")} AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+        p AS (SELECT *, {rule} AS rule, {said} AS fit FROM l),
+        s AS (SELECT host, CASE WHEN count(*) FILTER (fit = 'allow') * 2 > count(*) THEN 't' WHEN count(*) FILTER (fit = 'block') * 2 > count(*) THEN 'd' END AS side
+              FROM p WHERE host <> '' GROUP BY host),
+        k AS (SELECT {host("url")} AS src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1)) AS link FROM u),
+        h AS (SELECT DISTINCT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM k),
+        g AS (SELECT src, dst FROM h WHERE src <> '' AND dst <> '' AND src <> dst),
+        b AS (SELECT 't' AS side, src, dst FROM g UNION ALL SELECT 'd', dst, src FROM g),
+        e AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY side, src) AS degree FROM b),
+        r0 AS MATERIALIZED (SELECT side, host, 1.0E0 / count(*) OVER (PARTITION BY side) AS rank FROM s WHERE side IS NOT NULL),
+        {steps}
+        q AS (SELECT side, host, rank / sum(rank) OVER (PARTITION BY side) AS rank FROM r{rounds}),
+        v AS (SELECT host, sum(CASE WHEN side = 't' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN side = 'd' THEN rank ELSE 0 END) AS distrust FROM q GROUP BY host),
+        w AS (SELECT *, CASE WHEN distrust > trust AND distrust > {urlfilter.FLOOR} / (SELECT count(*) FROM v) THEN 'block' ELSE 'allow' END AS verdict FROM v)
+        SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.fit, w.verdict, 'allow') AS verdict, round(coalesce(w.trust, 0), 9) AS trust, round(coalesce(w.distrust, 0), 9) AS distrust
+        FROM p LEFT JOIN w ON w.host = p.host"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_url_filter": _url_filter_sql(),
         "op1_exact_dedup": r"""
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
             SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,

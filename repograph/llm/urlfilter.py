@@ -136,5 +136,5 @@ def judge(pages: DataFrame, rules=RULES, **how) -> DataFrame:
     return met.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.col("host_verdict"), F.lit("allow")).alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"),
     )

@@ -141,3 +141,17 @@ def test_empty(spark):
     none = pages(spark, [])
     assert urlfilter.judge(none).count() == 0
     assert warc.read(warc.archive(none)).count() == 0
+
+
+def test_url_filter_sql_on_linked_pages(spark, tmp_path):
+    import duckdb
+
+    from repograph.llm import registry
+
+    pages(spark, link_rows()).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.op6_url_filter(spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.sql(registry.oracle_sql()["op6_url_filter"])
+    assert sorted(tuple(r[n] for n in want.columns) for r in got if r.page_id % 2) == sorted(r for r in want.fetchall() if r[0] % 2)
+    assert len({r.verdict for r in got if r.rule is None}) == 2
