@@ -27,7 +27,7 @@ def test_ids(spark):
     assert one(spark, "https://github.com/a/b.git", ids.repo_id) == "repo:github.com/a/b"
     assert one(spark, "https://github.com/a/b/", lambda c: ids.repo_id(c, F.lit("dist"))) == "repo:github.com/a/b/dist"
     assert one(spark, "./././x/y", ids.norm_path) == "x/y"
-    assert one(spark, " Lang_chain..Neo-_4j ", lambda c: ids.package_id(F.lit("python"), c)) == "pkg:python:lang-chain-neo-4j"
+    assert one(spark, " Some_chain..Two-_4j ", lambda c: ids.package_id(F.lit("python"), c)) == "pkg:python:some-chain-two-4j"
     assert one(spark, "GitHub.com/X_y", lambda c: ids.package_id(F.lit("go"), c)) == "pkg:go:GitHub.com/X_y"
     assert one(spark, None, lambda c: ids.external_ref_id(F.lit("python"), c, F.lit("S"))) == "ext:python:<unknown>#S"
     assert one(spark, "a_b.c", lambda c: ids.root_module(F.lit("python"), c)) == "a-b"
@@ -39,7 +39,7 @@ def test_ids(spark):
 @pytest.mark.parametrize(
     "line, want",
     [
-        ("neo4j>=5,<6  # x", ("neo4j", None, ">=5,<6")), ("a.b[c,d]==1.0", ("a.b", "[c,d]", "==1.0")), ("plain", ("plain", None, None)), ("# no", None), ("-r x.txt", None),
+        ("graphlib>=5,<6  # x", ("graphlib", None, ">=5,<6")), ("a.b[c,d]==1.0", ("a.b", "[c,d]", "==1.0")), ("plain", ("plain", None, None)), ("# no", None), ("-r x.txt", None),
         ("git+https://x", None), ("", None), ("x ~= 1.2 ; python_version < '3'", ("x", None, "~= 1.2 ; python_version < '3'")), ("two words", None),
     ],
 )
@@ -211,9 +211,9 @@ def test_graphify(spark, tmp_path):
     calls = {(r.src.split("#")[1], r.dst.split("#")[1]): (r.confidence, r.evidence) for r in x.calls(doc, REPO, "python").collect()}
     assert calls == {("Driver", "Driver.close"): (1.0, "src/d.py:L5"), ("connect", "Driver"): (0.7, "src/e.py:L4"), ("connect", "Driver.close"): (0.5, "src/e.py:L5")}
     assert [(r.src, r.dst) for r in x.file_imports(doc, REPO, "python").collect()] == [(f"file:{REPO}:src/e.py", f"file:{REPO}:src/d.py")]
-    bound = spark.createDataFrame([("src/e.py", "Session", "neo4j.work"), ("src/e.py", "helper", ".local")], "path string, bound string, module string")
+    bound = spark.createDataFrame([("src/e.py", "Session", "graphlib.work"), ("src/e.py", "helper", ".local")], "path string, bound string, module string")
     refs = {(r.id, r.root_module) for r in x.external_refs(doc, REPO, "python", bound).collect()}
-    assert refs == {("ext:python:neo4j.work#Session", "neo4j"), ("ext:python:<unknown>#Who", None)}
+    assert refs == {("ext:python:graphlib.work#Session", "graphlib"), ("ext:python:<unknown>#Who", None)}
 
 
 def test_codegraph(spark, tmp_path):
@@ -228,9 +228,9 @@ def test_codegraph(spark, tmp_path):
         n("m", "method", "close", "Driver::close", line=5)
         n("n", "function", "connect", None, "src/e.py", 2)
         n("f", "file", "d.py", None)
-        n("i", "import", "work", "neo4j.work", "src/e.py", 1, "from neo4j.work import (Session, Tx as T,\n  *)")
+        n("i", "import", "work", "graphlib.work", "src/e.py", 1, "from graphlib.work import (Session, Tx as T,\n  *)")
         n("j", "import", "rel", ".rel", "src/e.py", 1, "from .rel import Y")
-        n("k", "import", "neo4j", "neo4j", "src/e.py", 1, "import neo4j")
+        n("k", "import", "graphlib", "graphlib", "src/e.py", 1, "import graphlib")
         for e in (("n", "c", "calls", None), ("n", "m", "instantiates", "dynamic"), ("n", "f", "calls", None), ("c", "m", "contains", None)):
             c.execute("INSERT INTO edges VALUES (?,?,?,NULL,7,0,?)", e)
         c.execute("INSERT INTO files VALUES ('src/d.py','','python',1,1)")
@@ -242,7 +242,7 @@ def test_codegraph(spark, tmp_path):
     calls = {(r.src.split("#")[1], r.dst.split("#")[1]): (r.confidence, r.evidence) for r in x.calls(db, REPO, "python").collect()}
     assert calls == {("connect", "Driver"): (1.0, "src/e.py:7"), ("connect", "Driver.close"): (0.5, "src/e.py:7")}
     assert x.file_imports(db, REPO, "python").count() == 0
-    assert {(r.id, r.line) for r in x.external_refs(db, REPO, "python").collect()} == {("ext:python:neo4j.work#Session", 1), ("ext:python:neo4j.work#Tx", 1)}
+    assert {(r.id, r.line) for r in x.external_refs(db, REPO, "python").collect()} == {("ext:python:graphlib.work#Session", 1), ("ext:python:graphlib.work#Tx", 1)}
     with sqlite3.connect(at) as c:
         c.execute("UPDATE nodes SET qualified_name = 'example.org/kit/work' WHERE id = 'i'")
     assert [(r.module, r.symbol) for r in x.external_refs(db, REPO, "go").collect()] == [("example.org/kit/work", "Open")]
