@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import small_batches
+from repograph.llm.common import enough, share_of, small_batches
 
 #: The bounds of the fit: labelled rows per language, languages, characters of a
 #: fitted text (predictions read whole texts), landmarks, known n-grams.
@@ -35,7 +35,7 @@ RIDGE = 1e-2
 #: Steepness of the score in the margin between the best language and the next.
 SLOPE = 6.0
 UNKNOWN = "und"
-TABLE_BITS = 18
+TABLE_BITS = 20
 
 
 @dataclass
@@ -54,24 +54,23 @@ def codes(text: str):
 
 
 def _codes(x):
-    """x: code points. Other than letters become one separator."""
+    """x: code points. Runs of others than letters become one separator. Each length's codes come from the
+    last one's by one product and sum; a tag for the length and a final product spread them."""
     import numpy as np
 
-    y = np.where(x < len(_letters()), _letters()[np.minimum(x, len(_letters()) - 1)], x).astype(np.uint64)
-    # runs of separators count once
+    known = _letters()
+    y = known[x] if not len(x) or x.max() < len(known) else np.where(x < len(known), known[np.minimum(x, len(known) - 1)], x)
+    other = y == 32
     keep = np.ones(len(y), bool)
-    keep[1:] = (y[1:] != 32) | (y[:-1] != 32)
-    y = y[keep]
-    # 21 bits a code point hold three exactly; four are mixed, with a tag for the length
-    out = []
+    keep[1:] = ~(other[1:] & other[:-1])
+    y = y[keep].astype(np.uint64)
+    out, c = [], None
     with np.errstate(over="ignore"):
         for n in LENGTHS:
             if len(y) < n:
                 continue
-            c = np.full(len(y) - n + 1, n, dtype=np.uint64)
-            for i in range(n):
-                c = c * np.uint64(0x100000001B3) + y[i : len(y) - n + 1 + i]
-            out.append(c * np.uint64(0x9E3779B97F4A7C15))
+            c = y + np.uint64(1) if c is None else c[:-1] * np.uint64(0x100000001B3) + y[n - 1 :]
+            out.append((c + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
@@ -140,10 +139,12 @@ class Scorer:
         import numpy as np
 
         self.model = model
-        # direct lookup by the code's leading bits; what shares a cell is searched
+        # A cell for each value of a code's leading bits: the known n-gram in it, -1 if none, -2 if several.
         self.bits = np.uint64(64 - TABLE_BITS)
-        self.known = np.zeros(1 << TABLE_BITS, bool)
-        self.known[(model.keys >> self.bits).astype(np.int64)] = True
+        cells = (model.keys >> self.bits).astype(np.int64)
+        self.cell = np.full(1 << TABLE_BITS, -1, dtype=np.int32)
+        self.cell[cells] = np.arange(len(cells))
+        self.cell[cells[1:][cells[1:] == cells[:-1]]] = -2
 
     def presence(self, texts: list[str]):
         import numpy as np
@@ -153,10 +154,14 @@ class Scorer:
         for i, t in enumerate(texts):
             for begin in range(0, max(1, len(t)), 1 << 18):  # long texts in parts that overlap by the longest n-gram
                 for c in codes(t[begin : begin + (1 << 18) + max(LENGTHS)]):
-                    c = c[self.known[(c >> self.bits).astype(np.int64)]]
-                    at = np.searchsorted(keys, c)
-                    at[at == len(keys)] = 0
-                    out[i, at[keys[at] == c]] = 1
+                    at = self.cell[(c >> self.bits).astype(np.int64)]
+                    one = at >= 0
+                    found = at[one]
+                    out[i, found[keys[found] == c[one]]] = 1
+                    several = c[at == -2]
+                    if len(several):
+                        found = np.minimum(np.searchsorted(keys, several), len(keys) - 1)
+                        out[i, found[keys[found] == several]] = 1
         return out
 
     def __call__(self, texts: list[str]):
@@ -205,10 +210,14 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
 
     h = F.xxhash64(F.col("doc_id").cast("string"))
     able = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
-    keys = docs.where(able).select("lang", h.alias("__h"))
+    counts = docs.where(able).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    most = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], enough(ROWS_PER_LANGUAGE, r["n"]))))
+    keys = docs.where(able).select("lang", h.alias("__h")).where(share_of(F.col("__h")) <= most[F.col("lang")])
     top = W.partitionBy("lang").orderBy("__h")
     chosen = keys.withColumn("r", F.row_number().over(top)).where(F.col("r") <= ROWS_PER_LANGUAGE)
-    chosen = chosen.orderBy("r", "lang").limit(ROWS_PER_LANGUAGE * LANGUAGES).select(F.col("lang").alias("__l"), F.col("__h").alias("__c")).distinct()
+    chosen = chosen.select(F.col("lang").alias("__l"), F.col("__h").alias("__c")).distinct()  # at most ROWS_PER_LANGUAGE x LANGUAGES
     met = docs.where(able).withColumn("__h", h).join(
         F.broadcast(chosen), (F.col("__h") == F.col("__c")) & (F.col("lang") == F.col("__l")), "left_semi"
     )
