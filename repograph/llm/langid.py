@@ -32,7 +32,8 @@ LANDMARKS = 300
 GRAMS = 16384
 LENGTHS = (1, 2, 3, 4)
 RIDGE = 1e-2
-#: Steepness of the score in the margin between the best language and the next.
+#: Steepness of the score in the margin between the best language and the next. Scores are rounded, as sums of
+#: single precision differ a little with the batch that a text is in.
 SLOPE = 6.0
 UNKNOWN = "und"
 TABLE_BITS = 20
@@ -190,7 +191,7 @@ def _predict(broadcast):
                 top = np.sort(raw, axis=1)
                 margin = top[:, -1] - (top[:, -2] if raw.shape[1] > 1 else -1.0)
                 for i, k, m in zip(part, best, margin, strict=True):
-                    langs[i], scores[i] = model.languages[k], float(1 / (1 + np.exp(-SLOPE * float(m))))
+                    langs[i], scores[i] = model.languages[k], round(float(1 / (1 + np.exp(-SLOPE * float(m)))), 4)
             yield pa.RecordBatch.from_arrays(
                 [ids, held, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(b.column(i) for i in range(3, b.num_columns))],
                 names=["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]],
