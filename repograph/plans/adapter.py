@@ -81,7 +81,7 @@ TABLES = {
                    CASE WHEN p.pa % 17 = 0 THEN NULL ELSE CAST(p.pa % 200 + 1 AS INT) END AS line,
                    CASE WHEN (p.pa + p.pb) % 11 = 0 THEN TRUE ELSE FALSE END AS guarded, (p.pa + p.pb) % 5 AS c
             FROM {a_pair} p JOIN {a_symbol} s ON s.pk = p.pa JOIN {a_symbol} t ON t.pk = p.pb JOIN {a_repo} r ON r.id = t.repo
-            WHERE s.repo <> t.repo AND (p.pa + 3 * p.pb) % 7 = 0
+            WHERE s.repo <> t.repo
         ) x""",
     "a_ref": "SELECT ref AS id, ecosystem, module, root_module, symbol, min(ext) AS ext FROM {a_use} GROUP BY ref, ecosystem, module, root_module, symbol",
     "a_uses": "SELECT src, ref AS dst, min(ext) AS ext FROM {a_use} GROUP BY src, ref",
@@ -130,7 +130,7 @@ TABLES = {
                CAST(p_size % 3 AS STRING) || '.' || CAST(p_size % 5 AS STRING) || '.0' AS introduced, (p_size % 3) * 1000 + p_size % 5 AS lo,
                CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size % 3 + 1 AS STRING) || '.' || CAST(p_size % 7 AS STRING) || '.0' END AS fixed,
                CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_size % 3 + 1) * 1000 + p_size % 7 END AS hi
-        FROM (SELECT p_partkey, p_size FROM {part} WHERE p_partkey % 4 = 1 OR p_partkey % 20 = 0) v
+        FROM {part} v
         JOIN (SELECT dst, name, row_number() OVER (ORDER BY dst, repo) - 1 AS rn, count(*) OVER () AS n FROM {a_publishes}) g ON g.rn = v.p_partkey % g.n""",
 }
 
