@@ -7,7 +7,8 @@ once from trusted hosts along the links and once from blocked hosts against them
 
 Seeds are the hosts most of whose pages the rules allow (trusted) or block
 (distrusted). Each rank has mass 1 at the start; a host is blocked when its
-distrust exceeds both its trust and FLOOR times an even share of the mass.
+distrust exceeds both its trust and FLOOR times an even share of the mass. Ranks are
+iterated until they change by less than TOLERANCE.
 
 Defined cases: a null url or one without `://` has empty host and path and is
 allowed (no rule, no rank); null html has no links; repeated pages count once each;
@@ -17,6 +18,8 @@ result; columns other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,10 @@ from repograph.llm.common import attach, written
 #: (host, path, verdict) of the contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS = 12
+#: Rounds end when four of them change the ranks of both sides by less in sum; what is left then is as small.
+TOLERANCE = 1e-11
+#: As many rounds reach TOLERANCE on every graph, as each shrinks the change by DAMPING at least. For the SQL; Spark stops by itself.
+ROUNDS = math.ceil(math.log(TOLERANCE / 4) / math.log(DAMPING))
 FLOOR = 0.5
 
 
@@ -77,13 +83,14 @@ def seeds(at: DataFrame) -> DataFrame:
     return n.select("host", side.alias("side")).where("side is not null")
 
 
-def ranks(edges: DataFrame, seed: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def ranks(edges: DataFrame, seed: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Both personalised PageRanks at once: side, host, rank. edges (src, dst); seed (host, side).
 
     The sides share one loop as two components of one graph, (t, links) and (d, reversed
     links). Weight goes out evenly; a host without links out gives its weight back to the
     seeds, which the rounds' scaling to mass 1 does. Each round is one join by source and
-    one aggregate with map-side sums; a table is written every fourth round.
+    one aggregate with map-side sums; a table is written every fourth round and compared with
+the one before, and the rounds end when the two differ by less than tolerance.
     """
     edges = written(
         edges.select(F.lit("t").alias("side"), "src", "dst").unionByName(
@@ -100,14 +107,18 @@ def ranks(edges: DataFrame, seed: DataFrame, rounds: int = ROUNDS, damping: floa
         return rank
     out = edges.groupBy("side", "src").agg(F.count("*").alias("degree"))
     steps = written(edges.join(out, ["side", "src"]), "steps")
-    for k in range(rounds):
+    last, k, change = rank, 0, math.inf
+    while change >= tolerance:
         sent = steps.join(rank.withColumnRenamed("host", "src"), ["side", "src"]).select(
             "side", F.col("dst").alias("host"), (F.col("rank") / F.col("degree") * damping).alias("rank")
         )
         new = sent.unionByName(base.select("side", "host", (F.col("base") * (1 - damping)).alias("rank")))
         rank = new.groupBy("side", "host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
+        k += 1
+        if k % 4 == 0:
             rank = written(rank, "rank")
+            both = rank.unionByName(last.select("side", "host", (-F.col("rank")).alias("rank"))).groupBy("side", "host").agg(F.abs(F.sum("rank")).alias("by"))
+            last, change = rank, both.agg(F.coalesce(F.sum("by"), F.lit(0.0))).first()[0]
     sums = {r["side"]: r["s"] for r in rank.groupBy("side").agg(F.sum("rank").alias("s")).collect()}
     scale = F.create_map(*(F.lit(x) for s in ("t", "d") for x in (s, 1.0 / (sums.get(s) or 1.0))))
     return rank.select("side", "host", (F.col("rank") * scale[F.col("side")]).alias("rank"))
