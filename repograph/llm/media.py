@@ -1,10 +1,10 @@
 """Media columns: payloads as WAV samples, and spectral-peak fingerprints.
 
 A payload is stored as unsigned 8-bit mono samples and read back by the wave
-module. Its short-time Fourier transform (Hann frames without overlap) gives for
-each frame its strongest bins; each peak is paired with those of the next frames.
-A pair (low bin, high bin, distance) is stored with the frame it starts in, as two
-arrays: times and codes.
+module. Its short-time Fourier transform (Hann frames, one each HOP samples) gives
+for each frame its strongest bins; each peak is paired with all those of the frames
+that start one and two frame lengths later. A pair (bin, later bin, distance in frame
+lengths) is stored with the hop it starts at, as two arrays: times and codes.
 
 Defined cases: a null text is empty and becomes one block of zero bytes, which
 has no peak (the transform's mean is removed); equal payloads give equal media and
@@ -25,6 +25,7 @@ from repograph.llm.common import small_batches
 RATE = 8000
 UNIT = 64
 FRAME = 512
+HOP = FRAME // 8
 PEAKS = 2
 REACH = 2
 #: Frames transformed at once, so that a long payload needs little memory.
@@ -59,12 +60,13 @@ def fingerprint(samples: bytes):
     import numpy as np
 
     x = np.frombuffer(samples, dtype=np.uint8)
-    frames = -(-len(x) // FRAME)
+    frames = -(-len(x) // HOP)
     window = np.hanning(FRAME).astype(np.float32)
     bins, loud = np.zeros((frames, PEAKS), np.int64), np.zeros((frames, PEAKS), bool)
     for begin in range(0, frames, FRAMES_AT_ONCE):
-        part = x[begin * FRAME : (begin + FRAMES_AT_ONCE) * FRAME].astype(np.float32)
-        part = np.pad(part, (0, -len(part) % FRAME)).reshape(-1, FRAME)
+        size = (min(FRAMES_AT_ONCE, frames - begin) - 1) * HOP + FRAME
+        part = x[begin * HOP : begin * HOP + size].astype(np.float32)
+        part = np.lib.stride_tricks.sliding_window_view(np.pad(part, (0, size - len(part))), FRAME)[::HOP]
         part = (part - part.mean(1, keepdims=True)) * window
         power = np.abs(np.fft.rfft(part, axis=1)).astype(np.float32)[:, 1:]
         rows = np.arange(len(power))
@@ -77,12 +79,12 @@ def fingerprint(samples: bytes):
                 power[rows, np.clip(best + d, 0, power.shape[1] - 1)] = 0
     times, found = [], []
     for gap in range(1, REACH + 1):
+        ahead = gap * FRAME // HOP
         for p in range(PEAKS):
-            t = np.arange(max(0, frames - gap))
-            ok = loud[: frames - gap, p] & loud[gap:, 0] if frames > gap else np.zeros(0, bool)
-            t = t[ok]
-            times.append(t)
-            found.append((bins[t, p] << 12) | (bins[t + gap, 0] << 3) | gap)
+            for q in range(PEAKS):
+                t = np.flatnonzero(loud[: max(0, frames - ahead), p] & loud[ahead:, q])
+                times.append(t)
+                found.append((bins[t, p] << 12) | (bins[t + ahead, q] << 3) | gap)
     times, found = np.concatenate(times), np.concatenate(found)
     order = np.lexsort((found, times))
     return times[order], found[order]

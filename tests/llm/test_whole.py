@@ -2,7 +2,7 @@
 
 import pytest
 
-from repograph.llm import urlfilter
+from repograph.llm import media, urlfilter
 
 
 def test_ranks_are_converged_on_a_long_chain(spark):
@@ -19,3 +19,23 @@ def test_ranks_are_converged_on_a_long_chain(spark):
     want /= want.sum()
     assert set(got) == {f"h{i}" for i in range(n)}
     assert all(got[f"h{i}"] == pytest.approx(want[i], abs=1e-9) for i in range(n))
+
+
+def test_shifted_payloads_share_their_fingerprint():
+    import duckdb
+
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE length(text) > 7000 ORDER BY doc_id").fetchall()
+    same, whole = 0, 0
+    for (text,) in texts:
+        data = text.encode()[:6000]
+        a, b = (set(media.fingerprint(x)[1].tolist()) for x in (data, data[100:]))
+        same, whole = same + len(a & b), whole + len(a | b)
+    assert texts and same > 0.4 * whole
+
+
+def test_pairs_reach_all_peaks_of_the_later_frames():
+    import numpy as np
+
+    t = np.arange(8000)
+    two = (128 + 60 * np.sin(2 * np.pi * 1000 * t / 8000) + 40 * np.sin(2 * np.pi * 2500 * t / 8000)).astype(np.uint8).tobytes()
+    assert {(64, 64), (64, 160), (160, 64), (160, 160)} <= {(c >> 12, c >> 3 & 511) for c in media.fingerprint(two)[1].tolist()}
