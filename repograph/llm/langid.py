@@ -23,11 +23,8 @@ from pyspark.sql import functions as F
 
 from repograph.llm.common import enough, share_of, small_batches
 
-#: The bounds of the fit: labelled rows per language, languages, characters of a
-#: fitted text (predictions read whole texts), landmarks, known n-grams.
+#: The bounds of the fit: labelled rows per language, landmarks (one for each language at least), known n-grams.
 ROWS_PER_LANGUAGE = 250
-LANGUAGES = 256
-FIT_CHARS = 3000
 LANDMARKS = 300
 GRAMS = 16384
 LENGTHS = (1, 2, 3, 4)
@@ -96,7 +93,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     """rows: (text, language), a bounded sample."""
     import numpy as np
 
-    rows = [(t[:FIT_CHARS], la) for t, la in rows if t and has_letter(t[:FIT_CHARS])]
+    rows = [(t, la) for t, la in rows if t and has_letter(t)]
     if not rows:
         return None
     languages = sorted({la for _, la in rows})
@@ -104,9 +101,10 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     # landmarks: in turn from each language, in the sample's (hash) order
     by = {la: [i for i, r in enumerate(rows) if r[1] == la] for la in languages}
     marks, depth = [], 0
-    while len(marks) < min(LANDMARKS, len(rows)):
+    most = max(LANDMARKS, len(languages))
+    while len(marks) < min(most, len(rows)):
         for la in languages:
-            if depth < len(by[la]) and len(marks) < LANDMARKS:
+            if depth < len(by[la]) and len(marks) < most:
                 marks.append(by[la][depth])
         depth += 1
     grams, count = np.unique(np.concatenate([sets[i] for i in marks]), return_counts=True)
@@ -211,18 +209,18 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
 
     h = F.xxhash64(F.col("doc_id").cast("string"))
     able = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
-    counts = docs.where(able).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    counts = docs.where(able).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").collect()
     if not counts:
         return []
     most = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], enough(ROWS_PER_LANGUAGE, r["n"]))))
     keys = docs.where(able).select("lang", h.alias("__h")).where(share_of(F.col("__h")) <= most[F.col("lang")])
     top = W.partitionBy("lang").orderBy("__h")
     chosen = keys.withColumn("r", F.row_number().over(top)).where(F.col("r") <= ROWS_PER_LANGUAGE)
-    chosen = chosen.select(F.col("lang").alias("__l"), F.col("__h").alias("__c")).distinct()  # at most ROWS_PER_LANGUAGE x LANGUAGES
+    chosen = chosen.select(F.col("lang").alias("__l"), F.col("__h").alias("__c")).distinct()  # at most ROWS_PER_LANGUAGE for each language
     met = docs.where(able).withColumn("__h", h).join(
         F.broadcast(chosen), (F.col("__h") == F.col("__c")) & (F.col("lang") == F.col("__l")), "left_semi"
     )
-    got = met.select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang", "__h").limit(2 * ROWS_PER_LANGUAGE * LANGUAGES).collect()
+    got = met.select("text", "lang", "__h").limit(2 * ROWS_PER_LANGUAGE * len(counts)).collect()
     return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["__h"], r["lang"], r["text"] or ""))]
 
 
@@ -230,7 +228,7 @@ def predict(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and the columns named in keep."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(sample(docs)))  # bounded by GRAMS x LANGUAGES
+    model = spark.sparkContext.broadcast(fit(sample(docs)))  # GRAMS rows, a column for each language
     extra = [c for c in keep]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from repograph.llm import media, urlfilter
+from repograph.llm import langid, media, urlfilter
 
 
 def test_ranks_are_converged_on_a_long_chain(spark):
@@ -39,3 +39,22 @@ def test_pairs_reach_all_peaks_of_the_later_frames():
     t = np.arange(8000)
     two = (128 + 60 * np.sin(2 * np.pi * 1000 * t / 8000) + 40 * np.sin(2 * np.pi * 2500 * t / 8000)).astype(np.uint8).tobytes()
     assert {(64, 64), (64, 160), (160, 64), (160, 160)} <= {(c >> 12, c >> 3 & 511) for c in media.fingerprint(two)[1].tolist()}
+
+
+def test_fit_reads_whole_texts():
+    import random
+
+    r = random.Random(3)
+    words = {la: ["".join(r.choice(a) for _ in range(5)) for _ in range(200)] for la, a in (("en", "thernads"), ("fr", "loiqxuzc"))}
+    say = lambda la, n: " ".join(r.choice(words[la]) for _ in range(n))
+    header = "9 " * 2000  # no letter in the first 3,000 characters
+    model = langid.fit([(header + say(la, 400), la) for la in words for _ in range(20)])
+    scores = langid.Scorer(model)([say(la, 50) for la in words])
+    assert [model.languages[k] for k in scores.argmax(1)] == list(words)
+
+
+def test_fit_knows_every_language():
+    texts = [(chr(0x4E00 + 7 * k) * 9 + " " + chr(0x4E01 + 7 * k) * 9, f"l{k:03d}") for k in range(320)]
+    model = langid.fit(texts)
+    scores = langid.Scorer(model)([t for t, _ in texts])
+    assert [model.languages[k] for k in scores.argmax(1)] == [la for _, la in texts]
