@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repograph.operators.tables import discard, scratch, written  # noqa: F401
+
 #: White space of the contracts: space and the control characters 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -19,33 +20,32 @@ HOT_SHARE = 1 / 1000
 SPREAD = 4096
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir.
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as none of the columns has (Spark ignores case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
-    Only a local session without that setting falls back to a temporary folder;
-    a cluster without it uses the warehouse.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            at = tempfile.mkdtemp(prefix="repograph-")
-            spark.sparkContext.setCheckpointDir(at)
-        else:
-            at = spark.conf.get("spark.sql.warehouse.dir")
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost
-    executor costs only the tasks that it ran."""
-    path = f"{shared_dir(df.sparkSession)}/repograph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: texts can be long, and a batch must fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def whole(docs: DataFrame) -> Column:
+    """A row's columns as one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def unpacked(df: DataFrame, row: str, columns: Iterable[str]) -> DataFrame:
+    """The columns that `whole` put into the struct column row."""
+    return df.select(*(F.col(row)[c].alias(c) for c in columns))
+
+
+def slices(batches, rows: int = 256) -> Iterator:
+    """Arrow batches (which Spark bounds in bytes) in slices of few rows, so that what is made of one is small too."""
+    for b in batches:
+        for begin in range(0, b.num_rows, rows):
+            yield b.slice(begin, rows)
 
 
 def attach(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:

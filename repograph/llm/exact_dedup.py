@@ -9,8 +9,9 @@ processed the same way, until every bucket fits.
 
 Defined cases: a null text counts as empty; a null doc_id never stays while its
 group has another one (doc_ids sort nulls last); of rows that repeat the doc_id
-that stays, one is kept; an empty table gives an empty result; columns other than
-doc_id and text pass through untouched in `keep_first` and are ignored elsewhere.
+that stays, one is kept (in `keep_first` that with the least JSON, if other columns
+differ); an empty table gives an empty result; columns other than doc_id and text pass
+through `keep_first` untouched, whatever their names, and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import SPACE, attach, small_batches, written
+from repograph.llm.common import SPACE, attach, slices, unpacked, whole, written
 
 #: Bytes of content that one table holds; at least one entry always fits.
 TABLE_BYTES = 64 << 20
@@ -106,7 +107,7 @@ def _spilled(f) -> Iterator[tuple]:
 
 
 def _rows(batches) -> Iterator[tuple]:
-    for b in batches:
+    for b in slices(batches, 1024):
         d = b.to_pydict()
         for sha, text, low, n, m in zip(d["sha"], d["content"], d["low"], d["n"], d["m"], strict=True):
             yield text.encode("utf-8", "surrogatepass"), int(sha[:16], 16), low, n, m, sha
@@ -169,7 +170,6 @@ def _reduce(limit: int):
 
 def groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct text: sha, low (doc_id that stays), n (rows), m (rows with that doc_id)."""
-    small_batches(docs.sparkSession)
     content = normalised(F.col("text"))
     rows = docs.select(
         F.sha2(content, 256).alias("sha"),
@@ -213,16 +213,13 @@ def dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 def keep_first(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     found = groups(docs, table_bytes)
-    stays = found.select(F.col("sha").alias("__sha"), F.col("low").alias("__low"), F.col("m").alias("__m"))
-    keyed = docs.select(*columns, F.sha2(normalised(F.col("text")), 256).alias("__s"))
+    stays = found.select(F.col("sha").alias("stay"), "low", "m")
+    keyed = docs.select(whole(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("s"))
     # Keyed by (text, doc_id): only true repeats of a row share a key, however many copies a text has.
-    met = keyed.join(
-        stays, (F.col("__s") == F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__low"))
-    )
-    once = met.where("__m = 1")
+    met = keyed.join(stays, (F.col("s") == F.col("stay")) & F.col("id").eqNullSafe(F.col("low")))
+    once = unpacked(met.where("m = 1"), "row", docs.columns)
     if found.where("m > 1").isEmpty():
-        return once.select(*columns)
-    several = met.where("__m > 1").dropDuplicates(["__s"])
-    return once.select(*columns).unionByName(several.select(*columns))
+        return once
+    several = met.where("m > 1").groupBy("s").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(unpacked(several, "row", docs.columns))

@@ -11,7 +11,8 @@ once, when the model is fitted.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without
 labelled rows everything is `und`; a null doc_id counts as not held out and is not
-learned from; repeated rows give repeated results; other columns are ignored.
+learned from; repeated rows give repeated results; other columns are ignored by
+`predict` and pass through `keep_known`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,15 +20,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from repograph.llm.common import enough, share_of, small_batches
+from repograph.llm.common import enough, share_of, slices, whole
 
-#: The bounds of the fit: labelled rows per language, landmarks (one for each language at least), known n-grams.
+#: The bounds of the fit: labelled rows per language and in all (one for each language at least), landmarks
+#: (likewise), known n-grams, and the rows of one matrix.
 ROWS_PER_LANGUAGE = 250
+MOST_ROWS = 4000
 LANDMARKS = 300
 GRAMS = 16384
 LENGTHS = (1, 2, 3, 4)
+ROWS_AT_ONCE = 512
 RIDGE = 1e-2
 #: Steepness of the score in the margin between the best language and the next. Scores are rounded, as sums of
 #: single precision differ a little with the batch that a text is in.
@@ -56,8 +62,7 @@ def _codes(x):
     last one's by one product and sum; a tag for the length and a final product spread them."""
     import numpy as np
 
-    known = _letters()
-    y = known[x] if not len(x) or x.max() < len(known) else np.where(x < len(known), known[np.minimum(x, len(known) - 1)], x)
+    y = _letters()[x]
     other = y == 32
     keep = np.ones(len(y), bool)
     keep[1:] = ~(other[1:] & other[:-1])
@@ -81,7 +86,7 @@ def _letters():
     if _LETTERS is None:
         import numpy as np
 
-        _LETTERS = np.array([i if chr(i).isalpha() else 32 for i in range(0x3000)], dtype=np.uint32)
+        _LETTERS = np.array([i if chr(i).isalpha() else 32 for i in range(0x110000)], dtype=np.uint32)
     return _LETTERS
 
 
@@ -90,44 +95,53 @@ def has_letter(text: str) -> bool:
 
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
-    """rows: (text, language), a bounded sample."""
+    """rows: (text, language), a bounded sample. The matrices are made for ROWS_AT_ONCE rows at a time; whole are
+    only those of landmarks by n-grams and of landmarks by languages."""
     import numpy as np
 
     rows = [(t, la) for t, la in rows if t and has_letter(t)]
     if not rows:
         return None
     languages = sorted({la for _, la in rows})
+    number = {la: k for k, la in enumerate(languages)}
     sets = [np.unique(np.concatenate(codes(t))) for t, _ in rows]
     # landmarks: in turn from each language, in the sample's (hash) order
-    by = {la: [i for i, r in enumerate(rows) if r[1] == la] for la in languages}
-    marks, depth = [], 0
-    most = max(LANDMARKS, len(languages))
-    while len(marks) < min(most, len(rows)):
-        for la in languages:
-            if depth < len(by[la]) and len(marks) < most:
-                marks.append(by[la][depth])
+    by: dict = {la: [] for la in languages}
+    for i, (_, la) in enumerate(rows):
+        by[la].append(i)
+    most, depth = min(max(LANDMARKS, len(languages)), len(rows)), 0
+    marks: list[int] = []
+    while len(marks) < most:
+        marks += [by[la][depth] for la in languages if depth < len(by[la])]
         depth += 1
+    marks = marks[:most]
     grams, count = np.unique(np.concatenate([sets[i] for i in marks]), return_counts=True)
     if len(grams) > GRAMS:
         grams = np.sort(grams[np.lexsort((grams, -count))[:GRAMS]])
-    presence = np.zeros((len(rows), len(grams)), dtype=np.float32)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(grams, s)
-        at[at == len(grams)] = 0
-        presence[i, at[grams[at] == s]] = 1
-    norm = np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1))
-    unit = presence / norm
-    landmark = unit[marks]
-    block = unit @ landmark.T  # rows x landmarks
+
+    def unit(which):
+        """Presence rows scaled to length 1."""
+        out = np.zeros((len(which), len(grams)), dtype=np.float32)
+        for k, i in enumerate(which):
+            at = np.minimum(np.searchsorted(grams, sets[i]), len(grams) - 1)
+            out[k, at[grams[at] == sets[i]]] = 1
+        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+
+    landmark = unit(marks)
     values, vectors = np.linalg.eigh((landmark @ landmark.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = block.astype(np.float64) @ root
-    truth = np.array([[1.0 if la == r[1] else -1.0 for la in languages] for r in rows])
-    share = truth.shape[0] / np.maximum((truth > 0).sum(0), 1) / len(languages)
-    row_weight = np.array([share[languages.index(r[1])] for r in rows])[:, None]  # languages count alike
-    left = features.T @ (features * row_weight) + RIDGE * len(rows) * np.eye(features.shape[1]) / 100
-    alpha = root @ np.linalg.solve(left, features.T @ (truth * row_weight))
+    left, right = RIDGE * len(rows) * np.eye(root.shape[1]) / 100, np.zeros((root.shape[1], len(languages)))
+    share = np.array([len(rows) / len(by[la]) / len(languages) for la in languages])  # languages count alike
+    for begin in range(0, len(rows), ROWS_AT_ONCE):
+        part = range(begin, min(begin + ROWS_AT_ONCE, len(rows)))
+        features = (unit(part) @ landmark.T).astype(np.float64) @ root
+        own = np.array([number[rows[i][1]] for i in part])
+        weighed = features * share[own][:, None]
+        left += features.T @ weighed
+        right -= weighed.sum(0)[:, None]  # truth is 1 for the own language, -1 for the others
+        np.add.at(right.T, own, 2 * weighed)
+    alpha = root @ np.linalg.solve(left, right)
     return Model(languages, grams, (landmark.T.astype(np.float64) @ alpha).astype(np.float32))
 
 
@@ -178,8 +192,8 @@ def _predict(broadcast):
 
         model = broadcast.value
         scorer = Scorer(model) if model is not None else None
-        for b in batches:
-            ids, held, texts = b.column(0), b.column(1), b.column(2).to_pylist()
+        for b in slices(batches):
+            texts = b.column(0).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             able = [i for i, t in enumerate(texts) if t and has_letter(t)] if scorer else []
             for begin in range(0, len(able), 64):
@@ -191,8 +205,8 @@ def _predict(broadcast):
                 for i, k, m in zip(part, best, margin, strict=True):
                     langs[i], scores[i] = model.languages[k], round(float(1 / (1 + np.exp(-SLOPE * float(m)))), 4)
             yield pa.RecordBatch.from_arrays(
-                [ids, held, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(b.column(i) for i in range(3, b.num_columns))],
-                names=["doc_id", "held_out", "lang_pred", "score", *b.schema.names[3:]],
+                [*(b.column(i) for i in range(1, b.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=[*b.schema.names[1:], "lang_pred", "score"],
             )
 
     return run
@@ -204,36 +218,50 @@ def held_out():
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The labelled rows to learn from: per language those with the smallest hash of doc_id, none held out."""
-    from pyspark.sql import Window as W
+    """The labelled rows to learn from: per language those with the least hash of doc_id and text, none held out.
 
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    able = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
-    counts = docs.where(able).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").collect()
-    if not counts:
-        return []
-    most = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], enough(ROWS_PER_LANGUAGE, r["n"]))))
-    keys = docs.where(able).select("lang", h.alias("__h")).where(share_of(F.col("__h")) <= most[F.col("lang")])
-    top = W.partitionBy("lang").orderBy("__h")
-    chosen = keys.withColumn("r", F.row_number().over(top)).where(F.col("r") <= ROWS_PER_LANGUAGE)
-    chosen = chosen.select(F.col("lang").alias("__l"), F.col("__h").alias("__c")).distinct()  # at most ROWS_PER_LANGUAGE for each language
-    met = docs.where(able).withColumn("__h", h).join(
-        F.broadcast(chosen), (F.col("__h") == F.col("__c")) & (F.col("lang") == F.col("__l")), "left_semi"
+    Rows that repeat doc_id and text count once. What reaches the driver is at most MOST_ROWS whole texts, or one
+    for each language if there are more languages."""
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
+        F.col("lang").cast("string").alias("la"), F.col("text").cast("string").alias("said"), h.alias("own")
     )
-    got = met.select("text", "lang", "__h").limit(2 * ROWS_PER_LANGUAGE * len(counts)).collect()
-    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["__h"], r["lang"], r["text"] or ""))]
+    counts = {r["la"]: r["n"] for r in able.groupBy("la").agg(F.count("*").alias("n")).collect()}
+    each = max(1, min(ROWS_PER_LANGUAGE, MOST_ROWS // max(1, len(counts))))
+    chosen: dict = {}
+    for share in (lambda n: enough(each, n), lambda n: 1.0):  # the second for languages of which no hash is that small
+        left = {la: share(n) for la, n in counts.items() if la not in chosen}
+        if not left:
+            break
+        most = F.create_map(*(F.lit(x) for pair in left.items() for x in pair))
+        keys = able.where(share_of(F.col("own")) <= F.coalesce(most[F.col("la")], F.lit(-1.0))).select("la", "own").distinct()
+        top = keys.withColumn("r", F.row_number().over(W.partitionBy("la").orderBy("own"))).where(F.col("r") <= each)
+        for r in top.collect():
+            chosen.setdefault(r["la"], []).append(r["own"])
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(la, h) for la, hs in chosen.items() for h in hs], "la string, own long")
+    got = able.join(F.broadcast(wanted), ["la", "own"], "left_semi").dropDuplicates(["la", "own"]).collect()
+    return [(r["said"], r["la"]) for r in sorted(got, key=lambda r: (r["own"], r["la"]))]
 
 
-def predict(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score, and the columns named in keep."""
+def _scored(docs: DataFrame, *columns) -> DataFrame:
+    """columns (Columns), then lang_pred and score."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(sample(docs)))  # GRAMS rows, a column for each language
-    extra = [c for c in keep]
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"),
-        *(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(extra)),
-    )
-    kept = "".join(f", __k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
-    out = rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double" + kept)
-    return out.select("doc_id", "held_out", "lang_pred", "score", *(F.col(f"__k{i}").alias(c) for i, c in enumerate(extra)))
+    rows = docs.select(F.col("text").cast("string").alias("text"), *columns)
+    schema = StructType([*rows.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_predict(model), schema)
+
+
+def predict(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score."""
+    return _scored(docs, F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
+
+
+def keep_known(docs: DataFrame, fill: str = "lang") -> DataFrame:
+    """The rows of docs with a known language, with all their columns, whatever their names; where the column
+    fill is null it gets the prediction."""
+    kept = _scored(docs, whole(docs).alias("row")).where(F.col("lang_pred") != UNKNOWN)
+    new = {fill: F.coalesce(F.col("row")[fill], "lang_pred")} if fill in docs.columns else {}
+    return kept.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -2,9 +2,10 @@
 
 A payload is stored as unsigned 8-bit mono samples and read back by the wave
 module. Its short-time Fourier transform (Hann frames, one each HOP samples) gives
-for each frame its strongest bins; each peak is paired with all those of the frames
-that start one and two frame lengths later. A pair (bin, later bin, distance in frame
-lengths) is stored with the hop it starts at, as two arrays: times and codes.
+for each frame its strongest bins; each peak is paired with the others of its frame and
+with all those of the frames that start one and two frame lengths later. A pair (bin,
+later bin, distance in frame lengths) is stored with the hop it starts at, as two arrays:
+times and codes. Pairs within a frame give payloads shorter than two frames theirs.
 
 Defined cases: a null text is empty and becomes one block of zero bytes, which
 has no peak (the transform's mean is removed); equal payloads give equal media and
@@ -20,7 +21,7 @@ import wave
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import small_batches
+from repograph.llm.common import slices
 
 RATE = 8000
 UNIT = 64
@@ -78,10 +79,10 @@ def fingerprint(samples: bytes):
             for d in (-1, 0, 1):  # a peak's neighbours aren't peaks
                 power[rows, np.clip(best + d, 0, power.shape[1] - 1)] = 0
     times, found = [], []
-    for gap in range(1, REACH + 1):
+    for gap in range(REACH + 1):
         ahead = gap * FRAME // HOP
         for p in range(PEAKS):
-            for q in range(PEAKS):
+            for q in range(PEAKS) if gap else range(p + 1, PEAKS):
                 t = np.flatnonzero(loud[: max(0, frames - ahead), p] & loud[ahead:, q])
                 times.append(t)
                 found.append((bins[t, p] << 12) | (bins[t + ahead, q] << 3) | gap)
@@ -97,7 +98,7 @@ def _media(with_bytes: bool):
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             out: dict = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "times", "codes", "media")}
             for text in b.column(1).to_pylist():
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -121,7 +122,6 @@ def _media(with_bytes: bool):
 def media(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """One row per document: sizes and digests of payload and media as read back, the fingerprint's
     times and codes, and the media itself if with_bytes."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"

@@ -2,8 +2,8 @@
 
 The words of a source, its documents in the order of a hash, are packed into
 blocks of a fixed length (a source's last block may be short). A source's target
-fixes how many block slots it fills; each source's slots are drawn multinomially
-over the output shards. Slot j of a source takes block perm(j), where perm is a
+fixes how many block slots it fills. Output shards have a fixed number of slots and
+draw the sources of these multinomially. Slot j of a source takes block perm(j), where perm is a
 keyed pseudorandom permutation of its block numbers, another one for each pass
 over the source; blocks are then joined by (source, number). A source's last slot
 is cut so that the words it gives equal its target.
@@ -11,7 +11,8 @@ is cut so that the words it gives equal its target.
 Defined cases: a null text has no words and is never taken; a null source is a
 source of its own, last in order; documents with equal doc_id are mixed as
 separate documents; an empty table, or one without words, gives targets of 0;
-columns other than doc_id, text and source are ignored by `pieces`.
+columns other than doc_id, text and source are ignored by `pieces`, and pass through
+`mixed` whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repograph.llm.common import WORD, attach, small_batches, written
+from repograph.llm.common import WORD, attach, whole, written
 
-#: Words of a block, and blocks of an output shard on average.
+#: Words of a block, and blocks of an output shard.
 BLOCK = 128
 SHARD_BLOCKS = 4096
+#: Parts that a range of shards is split into at once.
+FAN = 32
 #: Weights of the sources in order, repeating; share of all words; most passes over a source.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -39,17 +42,24 @@ def words(text):
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank, from 0 on in the order of source, null last: places in the parts of a sorted table, each
+    added to what the parts before it hold. No task sees all sources."""
+    laid = written(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("at", 33)
+    base, seen = [], 0
+    for r in sorted(laid.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # a row for each part
+        base += [F.lit(r["part"]), F.lit(seen)]
+        seen += r["n"]
+    before = F.create_map(*base)[part] if base else F.lit(0)
+    return laid.withColumn("rank", before + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
-    """sources (source, source_size) with target: what is shared out by weight, none above most times
+    """sources (source, source_size, n_docs) with target: what is shared out by weight, none above most times
     its size. Capping and sharing the excess again is repeated on one aggregate row until none is above."""
-    order = W.orderBy(F.col("source").asc_nulls_last())
     table = [float(w) for w in weights]
-    weighed = written(
-        sources.withColumn("rank", F.row_number().over(order) - 1).withColumn(
-            "weight", F.element_at(F.array(*map(F.lit, table)), (F.col("rank") % len(table) + 1).cast("int"))
-        ),
-        "weights",
-    )
+    weighed = written(_ranked(sources).withColumn("weight", F.element_at(F.array(*map(F.lit, table)), (F.col("rank") % len(table) + 1).cast("int"))), "weights")
     total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
     level, before = 0.0, -1.0
     while level > before:
@@ -126,42 +136,80 @@ def slots_of(size: int, target: float, block: int, source, seed: int) -> tuple[i
     return done * n + k, rest - tail - (k - 2) * block
 
 
-def _draw(block: int, shards: int, seed: int):
-    """For each source, in runs of (source, shard): its first slot there and how many."""
-
+def _slot_counts(block: int, seed: int):
     def run(frames: Iterator):
+        for f in frames:
+            names = [None if x is None or x != x else x for x in f["source"]]
+            both = [slots_of(int(n), float(t), block, s, seed) for s, n, t in zip(names, f["source_size"], f["target"], strict=True)]
+            f["slots"], f["last"] = [k for k, _ in both], [w for _, w in both]
+            yield f[["source", "source_size", "slots", "last"]].rename(columns={"source_size": "size"})
+
+    return run
+
+
+def draw(rng, left, n: int):
+    """How many of n slots each source gets, of those it has left: multinomial by what is left, without replacement.
+    Beyond the library's limit the plain multinomial draw, cut to what is left, and the rest to those with most left."""
+    import numpy as np
+
+    if left.sum() < 10**9:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    drawn = np.minimum(rng.multinomial(n, left / left.sum()), left)
+    order = np.argsort(drawn - left, kind="stable")
+    room = (left - drawn)[order]
+    before = np.cumsum(room) - room
+    drawn[order] += np.clip(n - drawn.sum() - before, 0, room)
+    return drawn
+
+
+def _split(width: int, shard_blocks: int, total: int, seed: int):
+    """A range of shards cut into ranges of width, and each source's slots in it dealt to them."""
+
+    def run(frame):
         import numpy as np
         import pandas as pd
 
-        for frame in frames:
-            for source, size, target in zip(frame["source"], frame["source_size"], frame["target"], strict=True):
-                source = None if source is None or source != source else source
-                count, last = slots_of(int(size), float(target), block, source, seed)
-                rng = np.random.default_rng(_key(source, -1, seed))
-                first, left, at = 0, count, 0
-                while left and at < shards:
-                    width = min(65536, shards - at)  # multinomial over a run of shards, given what is left
-                    here = left if at + width == shards else rng.binomial(left, width / (shards - at))
-                    drawn = rng.multinomial(here, np.full(width, 1 / width))
-                    (used,) = np.nonzero(drawn)
-                    drawn = drawn[used]
-                    starts = first + np.concatenate([[0], np.cumsum(drawn)[:-1]]) if len(used) else drawn
-                    yield pd.DataFrame(
-                        {
-                            "source": pd.Series([source] * len(used), dtype=object),
-                            "shard": used.astype(np.int64) + at,
-                            "first": starts.astype(np.int64),
-                            "count": drawn.astype(np.int64),
-                            "size": np.full(len(used), int(size), dtype=np.int64),
-                            "slots": np.full(len(used), count, dtype=np.int64),
-                            "last": np.full(len(used), last, dtype=np.int64),
-                        }
-                    )
-                    first, left, at = first + here, left - here, at + width
+        frame = frame.sort_values("source", na_position="last", kind="stable", ignore_index=True)
+        low, high = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
+        rng = np.random.default_rng(_key(f"{low}-{high}", -1, seed))
+        left, first, out = frame["count"].to_numpy(np.int64, copy=True), frame["first"].to_numpy(np.int64, copy=True), []
+        for begin in range(low, high, width):
+            end = min(begin + width, high)
+            drawn = draw(rng, left, min(total, end * shard_blocks) - begin * shard_blocks)
+            (used,) = np.nonzero(drawn)
+            part = frame.iloc[used].copy()
+            part["low"], part["high"], part["first"], part["count"] = begin, end, first[used], drawn[used]
+            out.append(part)
+            left, first = left - drawn, first + drawn
+        return pd.concat(out)
 
     return run
 
 
+RUN = "source string, size long, slots long, last long, low long, high long, first long, count long"
+
+
+def draws(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """What each output shard mixes: source, size, slots, last, shard, first, count (the source's slots first to
+    first + count - 1). A shard holds shard_blocks slots, the last one what is left.
+
+    Shards draw the sources of their slots multinomially, by the sources' shares, given that the draws add up to
+    what each source fills; that is a draw without replacement. It is made down a tree: a range of shards draws for
+    its FAN parts, each of these for its own in another task, with a generator that the range seeds. A task holds a
+    row for each source of a range."""
+    counts = written(sources.mapInPandas(_slot_counts(block, seed), "source string, size long, slots long, last long").where("slots > 0"), "slots")
+    total = counts.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    shards = -(-total // shard_blocks)
+    runs = counts.select("*", F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high"), F.lit(0).cast("long").alias("first"), F.col("slots").alias("count"))
+    width = 1
+    while width < shards:
+        width *= FAN
+    while width > 1:
+        width //= FAN
+        runs = runs.groupBy("low").applyInPandas(_split(width, shard_blocks, total, seed), RUN)
+    return runs.select("source", "size", "slots", "last", F.col("low").alias("shard"), "first", "count")
+
+
 def _slots(block: int, seed: int):
     """The block that each slot takes, and how many of its words."""
 
@@ -200,7 +248,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.xxhash64("doc_id", "text").alias("h"),
+        _doc_hash().alias("h"),
     )
 
 
@@ -228,14 +276,9 @@ def placed(table: DataFrame) -> DataFrame:
 
 
 def plan(table: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, **how):
-    """The sources with their targets, and all slots: source, shard, slot, number, takes."""
+    """The sources with their targets, and all slots: source, shard, slot, pass, number, takes."""
     sources = written(targets(table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), **how), "targets")
-    total = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    shards = max(1, math.ceil(total / (block * shard_blocks)))
-    runs = sources.mapInPandas(
-        _draw(block, shards, seed),
-        "source string, shard long, first long, count long, size long, slots long, last long",
-    )
+    runs = draws(sources, block, shard_blocks, seed)
     # Runs are few bytes but many slots: without a number they would be merged into a few tasks.
     parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = runs.repartition(parts, "source", "shard").mapInPandas(
@@ -248,7 +291,6 @@ def pieces(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS
     """(sources, sized table, mixture). The mixture has a row for each run of a document's words in a
     slot: source, shard, slot, pass, number, doc_id, h, start (of the document in its source), size,
     word (first one taken), n_words. `with_text` adds the words themselves."""
-    small_batches(docs.sparkSession, 2048)
     table = written(sized(docs), "sized")
     sources, slots = plan(table, block, shard_blocks, seed, **how)
     laid = placed(table).where("size > 0")
@@ -266,13 +308,15 @@ def pieces(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS
     return sources, table, mixture
 
 
+def _doc_hash():
+    return F.xxhash64("doc_id", "text", "source")
+
+
 def with_text(mixture: DataFrame, docs: DataFrame) -> DataFrame:
     """The mixture with text: the words of each run, joined by single spaces."""
-    full = docs.select(
-        F.col("doc_id").cast("long").alias("__id"), F.xxhash64("doc_id", "text").alias("__h"), words(F.col("text")).alias("__w")
-    ).dropDuplicates(["__id", "__h"])
-    met = mixture.join(full, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    taken = F.array_join(F.slice("__w", (F.col("word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
+    full = docs.select(F.col("doc_id").cast("long").alias("key"), _doc_hash().alias("own"), F.col("text").cast("string").alias("said")).distinct()
+    met = mixture.join(full, (F.col("h") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("key")))
+    taken = F.array_join(F.slice(words(F.col("said")), (F.col("word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
     return met.select(*mixture.columns, taken.alias("text"))
 
 
@@ -297,21 +341,22 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mixture as documents: for each pass over a source, each document with the words that the pass
-    takes of it. One taken whole keeps its text; of others, the words are joined by single spaces.
-    Columns are those of docs; n_chars, if there, is that of the new text."""
-    _, _, mixture = pieces(docs, **how)
+    """The mixture as documents: for each pass over a source, each document with the words that the pass takes of
+    it, so that a document that two passes take comes twice. One taken whole keeps its text; of others, the words
+    are joined by single spaces. The order of shards and slots is that of `pieces`; here rows have none. Columns are
+    those of docs, whatever their names; n_chars, if there, is that of the new text. Of rows that agree in doc_id,
+    text and source the one with the least JSON gives the other columns."""
+    _, table, mixture = pieces(docs, **how)
     runs = mixture.groupBy("source", "start", "h", "doc_id", "size", "pass").agg(
-        F.sum("n_words").alias("__n"), F.array_sort(F.collect_list(F.struct("word", "n_words"))).alias("__runs")
-    ).select(F.col("h").alias("__hm"), F.col("doc_id").alias("__im"), F.col("size").alias("__size"), "__n", "__runs")
-    full = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.col("doc_id").cast("long").alias("__id"), F.xxhash64("doc_id", "text").alias("__h"),
-    ).dropDuplicates(["__id", "__h"])
-    met = runs.join(full, (F.col("__hm") == F.col("__h")) & F.col("__im").eqNullSafe(F.col("__id")))
-    met = met.withColumn("__w", F.when(F.col("__n") < F.col("__size"), words(F.col("text"))))
-    part = F.transform("__runs", lambda r: F.array_join(F.slice(F.col("__w"), (r["word"] + 1).cast("int"), r["n_words"].cast("int")), " "))
-    text = F.when(F.col("__n") < F.col("__size"), F.array_join(part, " ")).otherwise(F.col("text"))
-    met = met.withColumn("__text", text)
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return met.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+        F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("word", "n_words"))).alias("runs")
+    ).select("h", F.col("doc_id").alias("id"), "size", "n", "runs")
+    full = docs.select(_doc_hash().alias("own"), F.col("doc_id").cast("long").alias("key"), whole(docs).alias("row"))
+    if not table.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        full = full.groupBy("key", "own").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    met = runs.join(full, (F.col("h") == F.col("own")) & F.col("id").eqNullSafe(F.col("key")))
+    part, text = F.col("n") < F.col("size"), F.col("row")["text"].cast("string")
+    met = met.withColumn("w", F.when(part, words(text)))
+    each = F.transform("runs", lambda r: F.array_join(F.slice(F.col("w"), (r["word"] + 1).cast("int"), r["n_words"].cast("int")), " "))
+    met = met.withColumn("new", F.when(part, F.array_join(each, " ")).otherwise(text))
+    new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return met.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

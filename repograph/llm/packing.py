@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repograph.llm.common import small_batches, written
+from repograph.llm.common import slices, written
 
 CAPACITY = 1024
 END = 2
@@ -52,7 +52,7 @@ class Encoder:
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as e:  # the regular expression gives up on very long runs by a panic
-                if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit | MemoryError):
+                if type(e).__name__ != "PanicException":  # the library's own; it can't be imported
                     raise
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -76,7 +76,7 @@ def _tokenise(capacity: int, with_ids: bool):
         encode, seen = Encoder(), [0] * (capacity + 1)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "seq"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for b in batches:
+        for b in slices(batches):
             rows, ids_of = [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), END], dtype="<u4")
@@ -207,7 +207,6 @@ def _assign(runs: list[tuple]):
 def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, as
     little-endian 32-bit numbers)."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     more = ", ids binary" * with_ids

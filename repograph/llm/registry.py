@@ -21,9 +21,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of these tables, a source is an owner and its share in one language a repository."""
+    """Of these tables, a source is an owner and its share in one language a repository (a null is a value of its own)."""
     docs = _table(spark, sf_dir, "documents")
-    return secret_scan.scan(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+    return secret_scan.scan(docs, F.to_json(F.struct("source", "lang")), F.col("source"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def _url_filter_sql() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in ordered) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered) + " END"
-    d, rounds = urlfilter.DAMPING, urlfilter.ROUNDS
+    d, rounds, places = urlfilter.DAMPING, urlfilter.ROUNDS, urlfilter.PLACES
     steps = "".join(
         f"""r{k} AS MATERIALIZED (SELECT side, host, sum(rank) AS rank FROM (
             SELECT e.side, e.dst AS host, r.rank / e.degree * {d} AS rank FROM e JOIN r{k - 1} r ON r.side = e.side AND r.host = e.src
@@ -85,18 +85,22 @@ def _url_filter_sql() -> str:
         WITH u AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
         l AS (SELECT page_id, {host("url")} AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
         p AS (SELECT *, {rule} AS rule, {said} AS fit FROM l),
-        s AS (SELECT host, CASE WHEN count(*) FILTER (fit = 'allow') * 2 > count(*) THEN 't' WHEN count(*) FILTER (fit = 'block') * 2 > count(*) THEN 'd' END AS side
-              FROM p WHERE host <> '' GROUP BY host),
+        c AS (SELECT host, count(*) AS n, count(*) FILTER (fit = 'allow') AS a, count(*) FILTER (fit = 'block') AS b FROM p WHERE host <> '' GROUP BY host),
+        s AS (SELECT 't' AS side, host, a * 1.0E0 / n AS share FROM c WHERE a > 0 UNION ALL SELECT 'd', host, b * 1.0E0 / n FROM c WHERE b > 0),
         k AS (SELECT {host("url")} AS src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1)) AS link FROM u),
         h AS (SELECT DISTINCT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM k),
         g AS (SELECT src, dst FROM h WHERE src <> '' AND dst <> '' AND src <> dst),
         b AS (SELECT 't' AS side, src, dst FROM g UNION ALL SELECT 'd', dst, src FROM g),
         e AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY side, src) AS degree FROM b),
-        r0 AS MATERIALIZED (SELECT side, host, 1.0E0 / count(*) OVER (PARTITION BY side) AS rank FROM s WHERE side IS NOT NULL),
+        r0 AS MATERIALIZED (SELECT side, host, share / sum(share) OVER (PARTITION BY side) AS rank FROM s),
         {steps}
-        q AS (SELECT side, host, rank / sum(rank) OVER (PARTITION BY side) AS rank FROM r{rounds}),
-        v AS (SELECT host, sum(CASE WHEN side = 't' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN side = 'd' THEN rank ELSE 0 END) AS distrust FROM q GROUP BY host),
-        w AS (SELECT *, CASE WHEN distrust > trust AND distrust > {urlfilter.FLOOR} / (SELECT count(*) FROM v) THEN 'block' ELSE 'allow' END AS verdict FROM v)
+        o AS (SELECT side, host, rank * (1 - {d}) AS own FROM r0),
+        q AS (SELECT r.side, r.host, r.rank / r.mass AS rank, (r.rank - CASE WHEN coalesce(s.share, 0) * 2 > 1 THEN 0 ELSE coalesce(o.own, 0) END) / r.mass AS says
+              FROM (SELECT *, sum(rank) OVER (PARTITION BY side) AS mass FROM r{rounds}) r
+              LEFT JOIN o ON o.side = r.side AND o.host = r.host LEFT JOIN s ON s.side = r.side AND s.host = r.host),
+        v AS (SELECT host, sum(CASE WHEN side = 't' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN side = 'd' THEN rank ELSE 0 END) AS distrust,
+                     round(sum(CASE WHEN side = 't' THEN says ELSE 0 END), {places}) AS pro, round(sum(CASE WHEN side = 'd' THEN says ELSE 0 END), {places}) AS con FROM q GROUP BY host),
+        w AS (SELECT *, CASE WHEN con > pro AND con > round({urlfilter.FLOOR} / (SELECT count(*) FROM v), {places}) THEN 'block' ELSE 'allow' END AS verdict FROM v)
         SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.fit, w.verdict, 'allow') AS verdict, round(coalesce(w.trust, 0), 9) AS trust, round(coalesce(w.distrust, 0), 9) AS distrust
         FROM p LEFT JOIN w ON w.host = p.host"""
 

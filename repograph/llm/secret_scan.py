@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import attach, small_batches, written
+from repograph.llm.common import attach, slices, written
 
 #: Fixed patterns of the base kinds. In `assign` the letters may be of either case.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,7 +100,7 @@ def _scan(batches):
     span = pa.struct(
         [("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("hash", pa.string()), ("random", pa.bool_())]
     )
-    for b in batches:
+    for b in slices(batches):
         counts, digests, found = {k: [] for k in KINDS}, [], []
         for text in b.column(b.schema.get_field_index("text")).to_pylist():
             spans = find_spans(text or "")
@@ -128,7 +128,6 @@ def _scan(batches):
 
 def candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """A written table: one row per document with its candidates, and `place`, a key of the row."""
-    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         repository.cast("string").alias("repository"),
@@ -162,7 +161,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, verdicts (of spans, in their
+    order: live or example), n_live, n_example."""
     found = candidates(docs, repository, owner)
     known = ownership(found)
     total = known.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     order = F.create_map(*(F.lit(x) for k in enumerate((*KINDS, "vendor", "opaque")) for x in k[::-1]))
     said = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("stop").cast("string"))
     spans = judged.where(base | F.col("live")).groupBy("place").agg(
-        F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("k"), said.alias("said")))).alias("all"),
+        F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("k"), said.alias("said"), F.when(F.col("live"), "live").otherwise("example").alias("verdict")))).alias("all"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
         F.sum((~F.col("live")).cast("long")).alias("n_example"),
     )
@@ -180,6 +180,7 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     return met.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce(F.array_join(F.col("all.said"), ","), F.lit("")).alias("spans"),
+        F.coalesce(F.array_join(F.col("all.verdict"), ","), F.lit("")).alias("verdicts"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )

@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import attach, small_batches, written
+from repograph.llm.common import attach, discard, slices, unused, written
 
 SHINGLE = 4
 SEED = 42
@@ -61,14 +61,13 @@ def _fingerprints(batches):
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
+    for b in slices(batches):
         found = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed number."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 
@@ -189,7 +188,6 @@ def _buckets(crowd: int, star: bool):
 
 def edges(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Distinct (a, b) that connect distinct fingerprints just as their links within RADIUS do."""
-    small_batches(fps.sparkSession, 50_000)
     met = projected(fps).repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(crowd, False), "a long, b long")
     found = written(met.distinct(), "links")
     dense = found.where("b is null").select(F.col("a").alias("fp"))
@@ -202,20 +200,23 @@ def edges(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """v, root for the nodes of pairs (a, b): least label of neighbours, then of the label's label,
-    until nothing changes; each round is a written table."""
+    until no neighbour has a lesser one. Each round's tables are written and the last ones deleted. A node
+    with very many neighbours, and a label that very many nodes carry, are hot keys of `attach`."""
     both = written(
         pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"))), "arcs"
     )
-    label = written(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("root")), "roots")
+    label = written(both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("root"), "n"), "roots")
+    arcs, nodes = both.count(), label.count()
     while True:
-        near = both.join(label.select(F.col("v").alias("u"), "root"), "u").groupBy("v").agg(F.min("root").alias("m"))
-        new = label.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "m").alias("r"))
+        near = attach(both, label.select(F.col("v").alias("u"), "root", "n"), "u", "n", arcs, F.xxhash64("v")).groupBy("v").agg(F.min("root").alias("m"))
+        new = written(label.join(near, "v").select("v", "n", F.col("root").alias("old"), F.least("root", "m").alias("r")), "near")
+        if new.where("r <> old").isEmpty():
+            return label.select("v", "root")
         jump = label.select(F.col("v").alias("r"), F.col("root").alias("rr"))
-        new = written(new.join(jump, "r").select("v", F.least("r", "rr").alias("root"), "old"), "roots")
-        moved = new.where("root <> old").isEmpty()
-        label = new.select("v", "root")
-        if moved:
-            return label
+        jump = written(new.groupBy("r").agg(F.count("*").alias("c")).join(jump, "r"), "jumps")
+        far = attach(new, jump, "r", "c", nodes, F.xxhash64("v")).select("v", F.least("r", "rr").alias("root"), "n")
+        last, label = label, written(far, "roots")
+        discard(last, new, jump)
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -223,9 +224,9 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     marked = written(fingerprints(docs), "fingerprints")
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     label = components(edges(fps.select("fp"), crowd))
-    met = label.join(fps, label["v"] == fps["fp"]).select("v", "root", "low", "n")
-    ids = met.groupBy("root").agg(F.min("low").alias("cid"), F.sum("n").alias("size"))
-    of = met.select("v", "root").join(ids, "root").select("v", "cid", "size")
+    met = written(label.join(fps, label["v"] == fps["fp"]).select("v", "root", "low", "n"), "members")
+    ids = written(met.groupBy("root").agg(F.min("low").alias("cid"), F.sum("n").alias("size"), F.count("*").alias("c")), "components")
+    of = attach(met.select("v", "root"), ids, "root", "c", met.count(), F.xxhash64("v")).select("v", "cid", "size")
     known = written(
         fps.join(of, fps["fp"] == of["v"], "left").select(
             "fp", "n", F.coalesce("cid", "low").alias("component_id"), F.coalesce("size", "n").alias("component_size")
@@ -241,5 +242,6 @@ def keep_first(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The rows of docs that stay, one document for each component, with all their columns.
     doc_id is taken as a document's key: rows that repeat one stay or go together."""
     found = near_duplicates(docs, crowd)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    (own,) = unused(docs.columns, "id")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own))
+    return docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")

@@ -24,7 +24,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm.common import attach, small_batches, written
+from repograph.llm.common import attach, slices, written
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 4 << 20
@@ -118,7 +118,7 @@ def _write(batches):
             [pa.array([f"part-{part:06d}-{seq:06d}"]), pa.array([b"".join(out)], pa.binary())], names=["archive", "content"]
         )
 
-    for b in batches:
+    for b in slices(batches):
         for page_id, url, html, low, revisit in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             payload = (html or "").encode("utf-8", "surrogatepass")
             out.append(record(page_id, url or "", payload, hashlib.sha256(payload).hexdigest(), low, revisit))
@@ -167,7 +167,6 @@ def _rows(rows, kinds, names, with_payload):
 
 def archive(pages: DataFrame) -> DataFrame:
     """Writes a record per page; returns the table of archives (archive, content)."""
-    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest")
@@ -187,7 +186,6 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     """A row per record of archives (content binary): page_id, payload_bytes, payload_digest,
     record_type, refers_to, and the payload (null for revisits) if wanted."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    small_batches(archives.sparkSession, 4)
     return archives.select("content").mapInArrow(_read(with_payload), schema)
 
 

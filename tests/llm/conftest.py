@@ -4,7 +4,12 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, sha string, h long, n long, place long, key string, fp long, start long, `__w` string"
+#: Names that the operators use within, next to the columns of documents.
+INNER = """h n place key fp start at base bin block bucket c cid count row s id own said la r low m mm sha stay text_sha256 keep_id kept group_size lang_pred score held_out
+ w new runs word n_words size source_size target taken slot shard pass number takes root v u rr component_id fingerprint one first several content place key __h __hk __hot __ck __cs
+ __cold __salt __id __w __l __c __k0 __sha __s __low __m __n __runs __size __text __hm __im _id""".split()
+NAMES = list(dict.fromkeys(INNER))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
 
 
 def rows_of(seed=1):
@@ -53,7 +58,7 @@ def doc_rows():
 
 @pytest.fixture(scope="session")
 def docs(spark, doc_rows):
-    full = [(*r, len(r[1] or ""), "x", 1, 2, 3, "k", 4, 5, "w") for r in doc_rows]
+    full = [(*r, len(r[1] or ""), *NAMES) for r in doc_rows]
     return spark.createDataFrame(full, DOCS).repartition(5)
 
 

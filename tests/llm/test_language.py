@@ -25,8 +25,8 @@ def test_predictions_use_only_texts(spark):
 
 
 def test_awkward_rows(docs, doc_rows):
-    got = langid.predict(docs, keep=("n", "key")).collect()
-    assert got[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score", "n", "key"]
+    got = langid.predict(docs).collect()
+    assert got[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score"]
     want = Counter((r[0], not any(map(str.isalpha, r[1] or ""))) for r in doc_rows)
     assert Counter((r.doc_id, r.lang_pred == "und") for r in got) == want
     assert all(r.score == 0 for r in got if r.lang_pred == "und")
@@ -38,6 +38,44 @@ def test_no_labels_and_empty(spark, no_docs):
     assert langid.predict(no_docs).count() == 0
 
 
+def test_rows_kept_keep_their_columns(docs, doc_rows):
+    got = langid.keep_known(docs)
+    assert got.schema == docs.schema
+    rows = got.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in doc_rows if any(map(str.isalpha, r[1] or "")))
+    assert all(r.lang for r in rows)
+
+
+def test_kernel_ridge_by_its_definition():
+    """With every row a landmark and every n-gram known: scores as the dual solution over whole kernel matrices."""
+    import numpy as np
+
+    texts = ["the cat sat", "a cat ran off", "le chat noir", "la souris verte", "der hund lief", "die graue maus"]
+    rows = list(zip(texts, ["en", "en", "fr", "fr", "de", "de"], strict=True))
+    grams = lambda t: {t[i : i + n] for n in langid.LENGTHS for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    truth = np.array([[1.0 if la == r[1] else -1.0 for la in ("de", "en", "fr")] for r in rows])
+    alpha = np.linalg.solve(k + langid.RIDGE * len(rows) / 100 * np.eye(len(rows)), truth)
+    model = langid.fit(rows)
+    asked = ["the black cat", "der schwarze hund", "une souris"]
+    known = {g for t in texts for g in grams(t)}
+    length = [len(grams(q) & known) ** 0.5 for q in asked]
+    want = np.array([[len(grams(q) & grams(t)) / n / len(grams(t)) ** 0.5 for t in texts] for q, n in zip(asked, length, strict=True)]) @ alpha
+    assert np.allclose(langid.Scorer(model)(asked), want, atol=1e-3)
+
+
+def test_sample_is_bounded_and_has_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROWS", 12)
+    rows = [(1, f"text {chr(97 + k % 26)}", f"l{k % 4}") for k in range(400)]  # all with one doc_id
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {la for _, la in got} == {f"l{k}" for k in range(4)} and len(got) <= 12
+
+
+def test_symbols_beyond_the_first_planes_are_no_letters():
+    assert [len(c) for c in langid.codes("　a😀b中")] == [len(" a b中") - n for n in range(4)]
+
+
 def test_presence_matches_brute_force():
     import numpy as np
 

@@ -62,6 +62,44 @@ def test_mixed_documents_hold_what_is_taken(docs):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def sources_of(spark, sizes):
+    rows = [(s, n, 1.5 * n) for s, n in sizes.items()]
+    return spark.createDataFrame(rows, "source string, source_size long, target double")
+
+
+@pytest.mark.parametrize("shard_blocks", [3, 10, 4096])
+def test_shards_have_a_fixed_size_and_mix_by_draws(spark, shard_blocks):
+    sizes = {"a": 700, "b": 300, None: 90, "c": 1}
+    runs = mixing.draws(sources_of(spark, sizes), block=1, shard_blocks=shard_blocks).collect()
+    slots = {s: mixing.slots_of(n, 1.5 * n, 1, s, mixing.SEED)[0] for s, n in sizes.items()}
+    total, by, of = sum(slots.values()), defaultdict(int), defaultdict(list)
+    for r in runs:
+        by[r.shard] += r["count"]
+        of[r.source].append((r.shard, r.first, r["count"]))
+    assert [by[k] for k in sorted(by)] == [shard_blocks] * (total // shard_blocks) + [total % shard_blocks] * (total % shard_blocks > 0)
+    for s, parts in of.items():  # each slot once, in the order of shards
+        end = 0
+        for _, first, n in sorted(parts):
+            assert first == end
+            end += n
+        assert end == slots[s]
+    if shard_blocks == 10:  # as multinomial draws vary, without replacement
+        n = total // 10
+        drawn = {k: 0 for k in range(n)} | {k: c for k, _, c in of["a"] if k < n}
+        p = slots["a"] / total
+        assert abs(np.mean(list(drawn.values())) - 10 * p) < 0.5
+        assert 0.6 < np.var(list(drawn.values())) / (10 * p * (1 - p)) < 1.5
+    again = mixing.draws(sources_of(spark, sizes).repartition(3), block=1, shard_blocks=shard_blocks).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, runs))
+
+
+def test_draw_beyond_the_librarys_limit():
+    rng, left = np.random.default_rng(1), np.array([2 * 10**9, 10**9, 3, 0])
+    got = mixing.draw(rng, left, 10**9)
+    assert got.sum() == 10**9 and (got <= left).all() and abs(got[0] / 10**9 - 2 / 3) < 1e-3
+    assert (mixing.draw(rng, left, int(left.sum())) == left).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 100, 1000])
 def test_permutation(n):
     p = mixing.permute(np.arange(n), n, 99)

@@ -39,22 +39,24 @@ def brute_rule(host, path):
 def brute_ranks(edges, seeds, rounds=urlfilter.ROUNDS, d=urlfilter.DAMPING):
     out = {}
     for side in "td":
-        base = {h for h, s in seeds if s == side}
+        share = {h: x for h, s, x in seeds if s == side}
+        base = {h: x / sum(share.values()) for h, x in share.items()}
         nxt = defaultdict(list)
         for a, b in edges:
             nxt[a if side == "t" else b].append(b if side == "t" else a)
-        rank = {h: 1 / len(base) for h in base}
+        rank = dict(base)
         if edges:
             for _ in range(rounds):
                 new = defaultdict(float)
                 for h in base:
-                    new[h] += (1 - d) / len(base)
+                    new[h] += (1 - d) * base[h]
                 for h, r in rank.items():
                     for to in nxt[h]:
                         new[to] += d * r / len(nxt[h])
                 rank = new
         total = sum(rank.values()) or 1
-        out |= {(side, h): r / total for h, r in rank.items()}
+        kept = 1 - d if edges else 1  # of a seed's base, in its own rank
+        out |= {(side, h): (r / total, kept * base.get(h, 0) / total, share.get(h, 0)) for h, r in rank.items()}
     return out
 
 
@@ -75,12 +77,13 @@ def link_rows():
     rows = []
     for k in range(400):
         host = r.choice(hosts)
+        part = "/fr/" if host.endswith("org") and k % 3 else "/p"
         to = " ".join(f'<a href="{r.choice(["http://", "//", "HTTPS://"])}{r.choice(hosts)}/p{k}">x</a>' for _ in range(r.randint(0, 3)))
-        rows.append((k, f"http://{host}{'/fr/' if host.endswith('org') else '/p'}{k}", to + '<a href="/rel">'))
+        rows.append((k, f"http://{host}{part}{k}", to + '<a href="/rel">'))
     return rows
 
 
-def test_ranks_match_brute_force(spark):
+def test_ranks_match_brute_force(spark, monkeypatch):
     rows = link_rows()
     edges = set()
     for _, url, html in rows:
@@ -92,17 +95,18 @@ def test_ranks_match_brute_force(spark):
     for _, url, _ in rows:
         host, path = brute_location(url)
         by[host].append(brute_rule(host, path)[1])
-    seeds = [(h, "t" if v.count("allow") * 2 > len(v) else "d") for h, v in by.items() if max(v.count("allow"), v.count("block")) * 2 > len(v)]
+    seeds = [(h, s, v.count(w) / len(v)) for h, v in by.items() for s, w in (("t", "allow"), ("d", "block")) if w in v]
     df = pages(spark, rows)
     at = urlfilter.located(df)
     assert {(r.src, r.dst) for r in urlfilter.host_edges(df).collect()} == edges
-    got = {(r.side, r.host): r["rank"] for r in urlfilter.ranks(urlfilter.host_edges(df), urlfilter.seeds(at)).collect()}
+    monkeypatch.setattr(urlfilter, "HUB", 2)  # most hosts are hubs of several seats
+    got = {(r.side, r.host): (r["rank"], r.own) for r in urlfilter.ranks(urlfilter.host_edges(df), urlfilter.seeds(at)).collect()}
     want = brute_ranks(edges, seeds)
-    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k][:2], abs=1e-9) for k in want)
     hosts = {h for _, h in want}
     for r in urlfilter.judge(df).collect():
         if r.rule is None:
-            t, b = want.get(("t", r.host), 0), want.get(("d", r.host), 0)
+            t, b = (w[0] - w[1] * (w[2] * 2 <= 1) for w in (want.get((s, r.host), (0, 0, 0)) for s in "td"))
             assert r.verdict == ("block" if b > t and b > urlfilter.FLOOR / len(hosts) else "allow")
 
 

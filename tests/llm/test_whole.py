@@ -11,7 +11,7 @@ def test_ranks_are_converged_on_a_long_chain(spark):
     n, d = 24, urlfilter.DAMPING
     links = [(i + 1, i) for i in range(n - 1)] + [(i, i + 1) for i in range(0, n - 1, 5)]  # towards h0, which is blocked, and some back
     edges = spark.createDataFrame([(f"h{a}", f"h{b}") for a, b in links], "src string, dst string")
-    got = {r.host: r["rank"] for r in urlfilter.ranks(edges, spark.createDataFrame([("h0", "d")], "host string, side string")).collect()}
+    got = {r.host: r["rank"] for r in urlfilter.ranks(edges, spark.createDataFrame([("h0", "d", 0.4)], "host string, side string, share double")).collect()}
     step, seed = np.zeros((n, n)), np.eye(n)[0]
     for a, b in links:  # against the links
         step[a, b] = 1 / sum(b == y for _, y in links)
@@ -33,6 +33,40 @@ def test_shifted_payloads_share_their_fingerprint():
     assert texts and same > 0.4 * whole
 
 
+def test_fingerprint_by_its_definition():
+    """Peaks of each frame by a Fourier sum, and all pairs of them, sample by sample."""
+    import numpy as np
+
+    data = np.random.default_rng(1).integers(0, 256, 1500).astype(np.uint8).tobytes()
+    n = media.FRAME
+    window, k = np.array([0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]), np.arange(1, n // 2 + 1)
+    wave = np.exp(-2j * np.pi * np.outer(k, np.arange(n)) / n)
+    peaks = []
+    for begin in range(0, len(data), media.HOP):
+        x = np.zeros(n)
+        part = data[begin : begin + n]
+        x[: len(part)] = list(part)
+        loud = sorted(zip(-np.abs(wave @ ((x - x.mean()) * window)), k.tolist(), strict=True))
+        first = loud[0][1]
+        second = next(b for _, b in loud if abs(b - first) > 1)
+        peaks.append((first, second))
+    want = []
+    for t, own in enumerate(peaks):
+        want.append((t, own[0] << 12 | own[1] << 3))
+        for gap in (1, 2):
+            later = t + gap * n // media.HOP
+            if later < len(peaks):
+                want += [(t, a << 12 | b << 3 | gap) for a in own for b in peaks[later]]
+    times, codes = media.fingerprint(data)
+    assert list(zip(times.tolist(), codes.tolist(), strict=True)) == sorted(want)
+
+
+def test_short_payloads_have_a_fingerprint():
+    for text in ("a", "some words", "x" * 63 + "y" * 200):
+        assert len(media.fingerprint(media.padded(text.encode()))[1])
+    assert not len(media.fingerprint(bytes(64))[1])
+
+
 def test_pairs_reach_all_peaks_of_the_later_frames():
     import numpy as np
 
