@@ -329,11 +329,55 @@ def test_pylint(spark):
     assert sorted(r.module for r in pylint.members(df).collect()) == ["p.a", "p.b", "p.c", "p.d"]
 
 
-def test_osv_fetch(spark, tmp_path):
-    def post(url, payload, timeout):
-        if payload["package"]["name"] == "down":
-            raise OSError("no network")
-        return json.dumps({"vulns": [{"id": "V-" + payload["package"]["ecosystem"]}]})
-
-    df = spark.createDataFrame([("python", "a"), ("python", "down"), ("cobol", "z"), ("go", "g")], "ecosystem string, name string")
-    assert sorted((r.name, r.doc.id) for r in osv.fetch(df, post=post).collect()) == [("a", "V-PyPI"), ("g", "V-Go")]
+def test_osv_fetch(spark):
+    """Against a service on this machine that fails for one package and breaks off for another."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    class Answers(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            package = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["package"]
+            if package["name"] == "cut":
+                self.connection.close()
+                return
+            body = json.dumps({"vulns": [{"id": "V-" + package["ecosystem"]}]}).encode() if package["name"] != "text" else b"no document"
+            self.send_response(500 if package["name"] == "down" else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        df = spark.createDataFrame([("python", n) for n in ("a", "down", "cut", "text", "b")] + [("cobol", "z"), ("go", "g")], "ecosystem string, name string")
+        got = osv.fetch(df, timeout=2, parts=1, url=f"http://127.0.0.1:{server.server_port}/v1/query").collect()
+    finally:
+        server.shutdown()
+    assert sorted((r.name, r.doc.id) for r in got) == [("a", "V-PyPI"), ("b", "V-PyPI"), ("g", "V-Go")]
+
+
+def test_go_imports_end_with_the_declarations():
+    go = """// import "not/this"
+/* package x */ package main; import a "x/a"
+import (
+\t. "x/dot" // import "c"
+\t_ `x/raw`
+\t"x/v2/plain"; b "x/b"
+)
+const s = `
+import "in/text"
+`
+"""
+    assert pysource.go_imports_of(go) == [("a", "x/a"), (".", "x/dot"), ("_", "x/raw"), ("plain", "x/v2/plain"), ("b", "x/b")]
+    assert pysource.go_imports_of("") == [] and pysource.go_imports_of(None) == []
+
+
+def test_last_result_among_logs():
+    said = '[INFO] start {\n{"markdown": "| a |", "of": [1, {"error": 2}]}\n{"log": "}"} [oops\n'
+    assert artifacts.last_result(said) == {"markdown": "| a |", "of": [1, {"error": 2}]}
+    assert artifacts.last_result(said + "[]") == [] and artifacts.last_result('{"a": "[1') is None
