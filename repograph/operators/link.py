@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from repograph.functions.ids import strength
-from repograph.operators.tables import written
+from repograph.operators.tables import together, written
 from repograph.operators.upsert import set_union
 
 
@@ -176,11 +176,12 @@ def imports_cross_repo(graph, resolved: DataFrame) -> DataFrame:
 
 def link(graph, nested: bool = False):
     """Derives all five edge tables, each written once as several queries read it."""
-    graph["DEPENDS_ON_REPO"] = written(depends_on_repo(graph), "DEPENDS_ON_REPO")
-    graph["RESOLVES_TO"] = written(resolves_to(graph, nested), "RESOLVES_TO")
-    graph["IMPORTS_FILE_CROSS_REPO"] = written(imports_file_cross_repo(graph), "IMPORTS_FILE_CROSS_REPO")
-    graph["CALLS_CROSS_REPO"] = written(calls_cross_repo(graph, graph["RESOLVES_TO"]), "CALLS_CROSS_REPO")
-    graph["IMPORTS_CROSS_REPO"] = written(imports_cross_repo(graph, graph["RESOLVES_TO"]), "IMPORTS_CROSS_REPO")
+    first = {"DEPENDS_ON_REPO": depends_on_repo, "RESOLVES_TO": lambda g: resolves_to(g, nested), "IMPORTS_FILE_CROSS_REPO": imports_file_cross_repo}
+    then = {"CALLS_CROSS_REPO": calls_cross_repo, "IMPORTS_CROSS_REPO": imports_cross_repo}
+    for name, table in together({n: lambda n=n, f=f: written(f(graph), n) for n, f in first.items()}).items():
+        graph[name] = table
+    for name, table in together({n: lambda n=n, f=f: written(f(graph, graph["RESOLVES_TO"]), n) for n, f in then.items()}).items():
+        graph[name] = table
     return graph
 
 

@@ -9,10 +9,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that are written at the same time at most.
+SIDE_BY_SIDE = 6
+
 _open: list[dict[str, str]] = []
 _known: set[str] = set()
 
@@ -57,6 +61,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def together(calls: dict) -> dict:
+    """The results of several calls (name -> function) that write tables; their jobs run side by side."""
+    with ThreadPoolExecutor(max_workers=SIDE_BY_SIDE) as pool:
+        running = {name: pool.submit(call) for name, call in calls.items()}
+        return {name: r.result() for name, r in running.items()}
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:

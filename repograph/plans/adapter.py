@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograph.operators import link as linking
-from repograph.operators.tables import written
+from repograph.operators.tables import together, written
 from repograph.plans.graph import Graph
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -160,9 +160,11 @@ _graphs: dict = {}
 
 def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     frames = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in SOURCES}
-    for name in ordered(TABLES, TABLES):
-        sql = TABLES[name]
-        frames[name] = written(spark.sql(sql, **{n: frames[n] for n in set(names_in(sql))}), name)
+    left = ordered(TABLES, TABLES)
+    while left:  # all that only need what is there
+        ready = [n for n in left if set(names_in(TABLES[n])) <= set(frames)]
+        frames |= together({n: lambda n=n: written(spark.sql(TABLES[n], **{x: frames[x] for x in set(names_in(TABLES[n]))}), n) for n in ready})
+        left = [n for n in left if n not in ready]
     return frames
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.operators.tables import empty, written
+from repograph.operators.tables import empty, together, written
 from repograph.operators.upsert import duplicates, only_between, upsert, without
 from repograph.schema import EDGES, ENDS, KEYS, NODES, TABLES
 
@@ -65,8 +65,7 @@ class Graph:
 
     def settle(self, *names: str) -> Graph:
         """Writes tables that have several readers; all of those set if none is named."""
-        for n in names or tuple(self.tables):
-            self.tables[n] = written(self[n], n)
+        self.tables |= together({n: lambda n=n: written(self[n], n) for n in names or tuple(self.tables)})
         return self
 
     # loading

@@ -12,7 +12,7 @@ from repograph.functions.ids import last_segment
 from repograph.operators import articulation, communities, cycles, rank, traverse
 from repograph.operators.components import strongly_connected
 from repograph.operators.link import prefixes
-from repograph.operators.numbering import numbered
+from repograph.operators.numbering import numbered, weighted
 from repograph.operators.tables import written
 
 #: Fixed values that results must equal.
@@ -234,22 +234,30 @@ def org_graph(graph) -> tuple[DataFrame, DataFrame]:
     return graph.memo["org"]
 
 
+def org_pairs(graph) -> tuple[DataFrame, DataFrame]:
+    """(weighted pairs a, b, w; nodes) of the same projection."""
+    if "org-pairs" not in graph.memo:
+        edges, nodes = org_graph(graph)
+        graph.memo["org-pairs"] = weighted(edges), nodes
+    return graph.memo["org-pairs"]
+
+
 def community_table(graph, **how) -> DataFrame:
-    return communities.communities(*org_graph(graph), **how)
+    return communities.of_pairs(*org_pairs(graph), **how)
 
 
 def betweenness_table(graph, samples: int = 2000, seed: int = 42) -> DataFrame:
-    edges, nodes = org_graph(graph)
-    return rank.betweenness(rank.undirected(edges), nodes, samples, seed)
+    pairs, nodes = org_pairs(graph)
+    return rank.betweenness(rank.both_ways(pairs), nodes, samples, seed)
 
 
 def pagerank_table(graph, rounds: int = 20) -> DataFrame:
-    edges, nodes = org_graph(graph)
-    return rank.pagerank(rank.undirected(edges), nodes, rounds)
+    pairs, nodes = org_pairs(graph)
+    return rank.pagerank_of_pairs(pairs, nodes, rounds)
 
 
 def articulation_table(graph) -> DataFrame:
-    return articulation.articulation_points(*org_graph(graph))
+    return articulation.of_pairs(*org_pairs(graph))
 
 
 def q12(graph, community: DataFrame, limit: int = 20) -> DataFrame:
@@ -317,8 +325,11 @@ PROJECTIONS = ("modules", "modules_core", "modules_all_ctx", "modules_all_design
 
 
 def scc(graph, name: str) -> DataFrame:
-    """id, component of a projection."""
-    return written(strongly_connected(*projection(graph, name)), f"scc-{name}")
+    """id, component of a projection; found once for a graph as it is."""
+    key = f"scc-{name}"
+    if key not in graph.memo:
+        graph.memo[key] = written(strongly_connected(*projection(graph, name)), key)
+    return graph.memo[key]
 
 
 def cycle_members(graph, name: str) -> DataFrame:
@@ -385,8 +396,8 @@ def q17(graph) -> DataFrame:
     # files of a pair's two repositories in a common component: per component and repository first, then per pair
     c = scc(graph, "modules_xrepo").join(graph["File"].select("id", "repo"), "id").groupBy("component", "repo").agg(F.count("*").alias("n"))
     c = written(c, "by-repo")
-    shared = c.select("component", F.col("repo").alias("a"), F.col("n").alias("na")).join(c.select("component", F.col("repo").alias("b"), F.col("n").alias("nb")), "component")
-    shared = shared.where("a < b").groupBy("a", "b").agg(F.sum(F.col("na") + F.col("nb")).alias("entangled_modules"), F.count("*").alias("spanning_components"))
+    shared = pairs.select("a", "b").join(c.select("component", F.col("repo").alias("a"), F.col("n").alias("na")), "a")  # only pairs that there are
+    shared = shared.join(c.select("component", F.col("repo").alias("b"), F.col("n").alias("nb")), ["component", "b"]).groupBy("a", "b").agg(F.sum(F.col("na") + F.col("nb")).alias("entangled_modules"), F.count("*").alias("spanning_components"))
     met = pairs.join(both, ["a", "b"], "left").join(shared, ["a", "b"], "left")
     cut_back = F.col("back_edges") <= F.col("edges")
     na, nb = last_segment(F.col("a")), last_segment(F.col("b"))

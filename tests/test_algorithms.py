@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from repograph.operators import articulation, communities, components, cycles, link, rank, traverse
+from repograph.operators import articulation, communities, components, cycles, link, numbering, rank, traverse
 
 
 def graphs():
@@ -126,11 +126,11 @@ def pieces(nodes, edges):
     return out
 
 
-@pytest.mark.parametrize("peel", [0, 4])
+@pytest.mark.parametrize("most", [0, 10**6])
 @pytest.mark.parametrize("nodes, edges", list(graphs()))
-def test_connected_and_articulation(spark, nodes, edges, peel):
+def test_connected_and_articulation(spark, nodes, edges, most):
     df, ids = frames(spark, nodes, edges)
-    if peel:
+    if most:
         got = {r.id: r.component for r in components.connected(df, ids).collect()}
         assert got == {x: min(p) for p in pieces(nodes, edges) for x in p}
     simple = [(a, b) for a, b in edges if a != b]
@@ -140,7 +140,7 @@ def test_connected_and_articulation(spark, nodes, edges, peel):
     for x in nodes:
         rest = pieces([n for n in nodes if n != x], [e for e in simple if x not in e])
         want[x] = int(x in used and len(rest) > whole)
-    assert {r.id: r.is_articulation for r in articulation.articulation_points(df, ids, peel).collect()} == want
+    assert {r.id: r.is_articulation for r in articulation.articulation_points(df, ids, most).collect()} == want
 
 
 def brute_betweenness(nodes, edges):
@@ -171,13 +171,12 @@ def brute_betweenness(nodes, edges):
 
 
 @pytest.mark.parametrize("nodes, edges", list(graphs()))
-def test_betweenness_both_ways(spark, nodes, edges, monkeypatch):
+def test_betweenness_both_ways(spark, nodes, edges):
     df, ids = frames(spark, nodes, edges)
     want = brute_betweenness(nodes, edges)
     both = rank.undirected(df)
     for most in (10**6, 0):
-        monkeypatch.setattr(rank, "BROADCAST_EDGES", most)
-        got = {r.id: r.betweenness for r in rank.betweenness(both, ids, samples=1000).collect()}
+        got = {r.id: r.betweenness for r in rank.betweenness(both, ids, samples=1000, most=most).collect()}
         assert got == pytest.approx(want)
 
 
@@ -193,6 +192,32 @@ def test_pagerank(spark, nodes, edges):
     for _ in range(7):
         score = {x: 0.15 + 0.85 * sum(score[a] * w / sum(v for (s, _), v in weight.items() if s == a) for (a, b), w in weight.items() if b == x) for x in nodes}
     assert got == pytest.approx(score)
+    numbers, named = numbering.numbered(df, ids)
+    pairs = numbering.weighted(numbers)
+    for most in (10**6, 0):
+        assert {r.id: r.pagerank for r in rank.pagerank_of_pairs(pairs, named, 7, most=most).collect()} == pytest.approx(score)
+
+
+def test_arrays_against_brute_force():
+    """Strong components and articulation points of many small graphs, of a long path and of a long ring."""
+    import numpy as np
+
+    r = random.Random(11)
+    for k in range(150):
+        n = r.randint(2, 9)
+        edges = sorted({(a, b) for a in range(n) for b in range(n) if a != b and r.random() < r.choice((0.1, 0.25, 0.5))})
+        reach = closure(range(n), edges)
+        src, dst = (np.array([e[i] for e in edges], dtype=np.int64) for i in (0, 1))
+        assert components.strong_labels(n, src, dst).tolist() == [min([b for b in range(n) if b in reach[a] and a in reach[b]] + [a]) for a in range(n)], edges
+        simple = sorted({(min(e), max(e)) for e in edges})
+        used = {x for e in simple for x in e}
+        want = [x for x in range(n) if x in used and len(pieces([v for v in range(n) if v != x], [e for e in simple if x not in e])) > len(pieces(range(n), simple))]
+        a, b = (np.array([e[i] for e in simple], dtype=np.int64) for i in (0, 1))
+        assert articulation.cut_nodes(n, a, b).tolist() == want, simple
+    path = np.arange(2000)
+    assert articulation.cut_nodes(2001, path, path + 1).tolist() == list(range(1, 2000))
+    assert not len(articulation.cut_nodes(2001, np.append(path, 0), np.append(path + 1, 2000)))
+    assert set(components.strong_labels(2001, np.append(path, 2000), np.append(path + 1, 0)).tolist()) == {0}
 
 
 def test_communities_of_joined_cliques(spark):
