@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.functions import ids, versions
+from repograph.operators.tables import written
 
 #: Names of the advisory database for the ecosystems (fixed values).
 ECOSYSTEMS = {"python": "PyPI", "go": "Go"}
@@ -98,13 +99,18 @@ def assessed(declared: DataFrame, entries: DataFrame) -> DataFrame:
     per = entries.groupBy("vuln", "package").agg(
         F.array_sort(F.collect_list(F.struct("introduced", "fixed", "last_affected", "versions"))).alias("affects")
     )
-    met = declared.join(per, "package")
-    spec, eco = F.col("version_spec"), F.col("ecosystem")
-    told = met.select(
-        F.col("repo").alias("src"), F.col("vuln").alias("dst"), "package", versions.assess(spec, eco, F.col("affects")).alias("v"),
-        spec.alias("declared"), versions.pinned(spec, eco).alias("resolved"),
+    met = written(
+        declared.join(per, "package").select(F.col("repo").alias("src"), F.col("vuln").alias("dst"), "package", "ecosystem", F.col("version_spec").alias("declared"), "affects"), "declared"
     )
-    return told.select("src", "dst", "package", "v.status", "v.reason", "declared", "resolved")
+    # Many declarations and advisories say the same: each case is decided once.
+    spec, eco = F.col("declared"), F.col("ecosystem")
+    # They are few bytes but much work, so the number of tasks doesn't follow their size.
+    parts = met.sparkSession.sparkContext.defaultParallelism
+    cases = met.select("declared", "ecosystem", "affects").distinct().repartition(parts).select(
+        spec.alias("s"), eco.alias("e"), F.col("affects").alias("a"), versions.assess(spec, eco, F.col("affects")).alias("v"), versions.pinned(spec, eco).alias("resolved")
+    )
+    same = F.col("declared").eqNullSafe(F.col("s")) & F.col("ecosystem").eqNullSafe(F.col("e")) & (F.col("affects") == F.col("a"))
+    return met.join(written(cases, "cases"), same).select("src", "dst", "package", "v.status", "v.reason", "declared", "resolved")
 
 
 def load(graph, advisories: DataFrame):
