@@ -16,6 +16,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: A key is hot above this share of the rows; so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1000
 
+BATCH_BYTES = 4 << 20
+
 #: Parts that hot rows, already answered, are spread over.
 SPREAD = 4096
 
@@ -41,6 +43,15 @@ def unpacked(df: DataFrame, row: str, columns: Iterable[str]) -> DataFrame:
     return df.select(*(F.col(row)[c].alias(c) for c in columns))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most BATCH_BYTES from now on. One value for all operators, which only lowers
+    the session's; rows of any size make no large batch then, nor many small ones tiny ones."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def slices(batches, rows: int = 256) -> Iterator:
     """Arrow batches (which Spark bounds in bytes) in slices of few rows, so that what is made of one is small too."""
     for b in batches:

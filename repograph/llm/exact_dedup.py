@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import SPACE, attach, slices, unpacked, whole, written
+from repograph.llm.common import SPACE, attach, bounded, slices, unpacked, whole, written
 
 #: Bytes of content that one table holds; at least one entry always fits.
 TABLE_BYTES = 64 << 20
@@ -171,7 +171,7 @@ def _reduce(limit: int):
 def groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per distinct text: sha, low (doc_id that stays), n (rows), m (rows with that doc_id)."""
     content = normalised(F.col("text"))
-    rows = docs.select(
+    rows = bounded(docs).select(
         F.sha2(content, 256).alias("sha"),
         content.alias("content"),
         F.col("doc_id").cast("long").alias("low"),

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from repograph.llm.common import enough, share_of, slices, whole
+from repograph.llm.common import bounded, enough, share_of, slices, whole
 
 #: The bounds of the fit: labelled rows per language and in all (one for each language at least), landmarks
 #: (likewise), known n-grams, and the rows of one matrix.
@@ -185,15 +185,18 @@ class Scorer:
         return (p @ self.model.weights) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
 
 
-def _predict(broadcast):
+def _predict(broadcast, inside: bool):
+    """Adds lang_pred and score to all columns but a first one, text; with inside the text is in a first one, row."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         model = broadcast.value
         scorer = Scorer(model) if model is not None else None
         for b in slices(batches):
-            texts = b.column(0).to_pylist()
+            texts = (pc.struct_field(b.column(0), "text") if inside else b.column(0)).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             able = [i for i, t in enumerate(texts) if t and has_letter(t)] if scorer else []
             for begin in range(0, len(able), 64):
@@ -205,8 +208,8 @@ def _predict(broadcast):
                 for i, k, m in zip(part, best, margin, strict=True):
                     langs[i], scores[i] = model.languages[k], round(float(1 / (1 + np.exp(-SLOPE * float(m)))), 4)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(1, b.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*b.schema.names[1:], "lang_pred", "score"],
+                [*(b.column(i) for i in range(not inside, b.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=[*b.schema.names[not inside :], "lang_pred", "score"],
             )
 
     return run
@@ -245,23 +248,21 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     return [(r["said"], r["la"]) for r in sorted(got, key=lambda r: (r["own"], r["la"]))]
 
 
-def _scored(docs: DataFrame, *columns) -> DataFrame:
-    """columns (Columns), then lang_pred and score."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(sample(docs)))  # GRAMS rows, a column for each language
-    rows = docs.select(F.col("text").cast("string").alias("text"), *columns)
-    schema = StructType([*rows.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_predict(model), schema)
+def _scored(docs: DataFrame, rows: DataFrame, inside: bool) -> DataFrame:
+    """rows, of docs, with lang_pred and score."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs)))  # GRAMS rows, a column for each language
+    schema = StructType([*rows.schema.fields[not inside :], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return bounded(rows).mapInArrow(_predict(model, inside), schema)
 
 
 def predict(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    return _scored(docs, F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
+    return _scored(docs, docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out")), False)
 
 
 def keep_known(docs: DataFrame, fill: str = "lang") -> DataFrame:
     """The rows of docs with a known language, with all their columns, whatever their names; where the column
     fill is null it gets the prediction."""
-    kept = _scored(docs, whole(docs).alias("row")).where(F.col("lang_pred") != UNKNOWN)
+    kept = _scored(docs, docs.select(whole(docs).alias("row")), True).where(F.col("lang_pred") != UNKNOWN)
     new = {fill: F.coalesce(F.col("row")[fill], "lang_pred")} if fill in docs.columns else {}
     return kept.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ import wave
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import slices
+from repograph.llm.common import bounded, slices
 
 RATE = 8000
 UNIT = 64
@@ -122,7 +122,7 @@ def _media(with_bytes: bool):
 def media(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """One row per document: sizes and digests of payload and media as read back, the fingerprint's
     times and codes, and the media itself if with_bytes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
         " media_sha256 string, times array<long>, codes array<long>" + ", media binary" * with_bytes

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repograph.llm.common import slices, written
+from repograph.llm.common import bounded, slices, written
 
 CAPACITY = 1024
 END = 2
@@ -207,7 +207,7 @@ def _assign(runs: list[tuple]):
 def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, as
     little-endian 32-bit numbers)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     more = ", ids binary" * with_ids
     pieces = written(rows.mapInArrow(_tokenise(capacity, with_ids), f"{schema}, part int, seq long{more}"), "pieces")

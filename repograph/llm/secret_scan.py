@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import attach, slices, written
+from repograph.llm.common import attach, bounded, slices, written
 
 #: Fixed patterns of the base kinds. In `assign` the letters may be of either case.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -128,7 +128,7 @@ def _scan(batches):
 
 def candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """A written table: one row per document with its candidates, and `place`, a key of the row."""
-    rows = docs.select(
+    rows = bounded(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         repository.cast("string").alias("repository"),
         owner.cast("string").alias("owner"),

@@ -24,7 +24,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm.common import attach, slices, written
+from repograph.llm.common import attach, bounded, slices, written
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 4 << 20
@@ -168,7 +168,7 @@ def _rows(rows, kinds, names, with_payload):
 def archive(pages: DataFrame) -> DataFrame:
     """Writes a record per page; returns the table of archives (archive, content)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keyed = pages.select(
+    keyed = bounded(pages).select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest")
     )
     able = keyed.where(F.octet_length("html") >= MIN_REVISIT)
@@ -186,7 +186,7 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     """A row per record of archives (content binary): page_id, payload_bytes, payload_digest,
     record_type, refers_to, and the payload (null for revisits) if wanted."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return archives.select("content").mapInArrow(_read(with_payload), schema)
+    return bounded(archives).select("content").mapInArrow(_read(with_payload), schema)
 
 
 def export(archives: DataFrame, folder: str) -> None:
