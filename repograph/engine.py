@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repograph.functions import ids
 from repograph.operators import link as linking
-from repograph.operators.tables import written
+from repograph.operators.tables import together, written
 from repograph.plans import named, scoring, vulnerabilities
 from repograph.plans.graph import Graph
 from repograph.sources import artifacts, corpus, files, manifests, osv, pylint, pysource
@@ -41,38 +41,44 @@ class Engine:
         locked = corpus.lock(self.spark, lock).where(F.col("corpus") == name) if lock else None
         if replace:
             g.drop_repo(repos)
-        g.load("Repo", corpus.repo_rows(repos, locked, extractor=extractor))
+        g.load("Repo", corpus.repo_rows(repos, locked, self._provenance(f"{self.artifacts_dir}/{extractor}/{name}"), extractor))
         g.load_packages(corpus.published(repos))
         declared = self._manifests(name, repos)
         if declared is not None:
             g.load_packages(manifests.package_rows(declared))
-        loaded = 0
-        for r in repos.collect():  # a configuration's repositories
-            doc = self._artifact(x, f"{self.artifacts_dir}/{extractor}/{name}/{r.dir}/{x.artifact}")
-            if doc is None:
-                if not missing_ok:
-                    raise FileNotFoundError(f"{extractor}/{name}/{r.dir}")
-                continue
-            loaded += 1
-            g.load_files(x.files(doc, r.id, r.ecosystem))
-            g.load_symbols(x.symbols(doc, r.id, r.ecosystem))
-            g.load("CALLS", x.calls(doc, r.id, r.ecosystem))
-            g.load("IMPORTS", artifacts.go_import_contexts(x.file_imports(doc, r.id, r.ecosystem)))
-            g.load_external_refs(x.external_refs(doc, r.id, r.ecosystem, self._bindings(name, r)), "USES" if x.anchor == "symbol" else "IMPORTS_EXT")
-            g.settle()  # lineage stays one repository long
-        return {"repos": loaded, **{r["name"]: r["rows"] for r in g.stats().collect()}}
-
-    def _artifact(self, x, path: str):
-        """The artifact, or None if there is no such file in whatever store the path names."""
+        at = {r.dir: f"{self.artifacts_dir}/{extractor}/{name}/{r.dir}/{x.artifact}" for r in repos.select("dir").distinct().collect()}  # a configuration's
+        there = {d: path for d, path in at.items() if self._exists(path)}
+        if len(there) < len(at) and not missing_ok:
+            raise FileNotFoundError(", ".join(f"{extractor}/{name}/{d}" for d in sorted(set(at) - set(there))))
+        if there:
+            self._load_artifacts(x, sorted(there.values()), repos, name)
+        return {"repos": len(there), **{r["name"]: r["rows"] for r in g.stats().collect()}}
+
+    def _load_artifacts(self, x, paths: list[str], repos: DataFrame, name: str) -> None:
+        """All artifacts at once: each is parsed once, and the graph's tables are written once."""
+        g = self.graph
+        told = artifacts.of_repos(x.read(self.spark, *paths), repos)
+        told = together({n: lambda n=n: written(told[n], n) for n in told})
+        g.load_files(x.files(told))
+        g.load_symbols(x.symbols(told))
+        g.load("CALLS", x.calls(told))
+        g.load("IMPORTS", artifacts.go_import_contexts(x.file_imports(told)))
+        g.load_external_refs(x.external_refs(told, bindings=self._bindings(name)), "USES" if x.anchor == "symbol" else "IMPORTS_EXT")
+        g.settle()
+
+    def _provenance(self, base: str) -> DataFrame | None:
+        """What the artifacts say they were made of: their own commit comes before a locked one."""
+        return artifacts.read_provenance(self.spark, base) if self._exists(base) else None
+
+    def _exists(self, path: str) -> bool:
+        """Whether there is such a file in whatever store the path names."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return x.read(self.spark, path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def _bindings(self, name: str, repo) -> DataFrame | None:
+    def _bindings(self, name: str) -> DataFrame | None:
         if not self.sources_dir:
             return None
-        own = self.sources(name, "*").where((F.col("repo") == repo.id) & (F.col("path").endswith(".py") | F.col("path").endswith(".go")))
+        own = self.sources(name, "*.{py,go}")
         return pysource.bindings(pysource.statements(own), own)
 
     def _manifests(self, name: str, repos: DataFrame) -> DataFrame | None:
@@ -94,11 +100,16 @@ class Engine:
         g.load("IMPORTS", pysource.classified_imports(stated, index))
         g.load_external_refs(pysource.external_imports(stated), "IMPORTS_EXT")
         if goscan_dir:
-            for r in self.repos(name).where("ecosystem = 'go'").collect():
-                doc = artifacts.read_json(self.spark, f"{goscan_dir}/{name}/{r.dir}.json", artifacts.GOSCAN)
-                g.load_external_refs(artifacts.goscan_external_refs(doc, r.id), "IMPORTS_EXT")
+            g.load_external_refs(artifacts.goscan_external_refs(self._goscan(name, goscan_dir)), "IMPORTS_EXT")
         return g.settle()
 
+    def _goscan(self, name: str, base: str) -> dict[str, DataFrame]:
+        """refs and defs of all scans {base}/{corpus}/{repo}.json."""
+        repos = self.repos(name).where("ecosystem = 'go'")
+        docs = artifacts.read_json(self.spark, [f"{base}/{name}/{r.dir}.json" for r in repos.collect()], artifacts.GOSCAN)
+        told = docs.withColumn("of_dir", F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1))
+        return artifacts.of_repos({n: artifacts.part(told, n) for n in ("refs", "defs")}, repos)
+
     def link(self, nested: bool = False) -> DataFrame:
         linking.link(self.graph, nested)
         return linking.report(self.graph)
@@ -134,12 +145,8 @@ class Engine:
         repos = self.repos(name)
         pub = corpus.published(repos).select(F.col("repo").alias("dst_repo"), "name", "ecosystem")
         if goscan_dir:
-            refs, defs = None, None
-            for r in repos.where("ecosystem = 'go'").collect():
-                doc = artifacts.read_json(self.spark, f"{goscan_dir}/{name}/{r.dir}.json", artifacts.GOSCAN)
-                a, b = artifacts.goscan_refs(doc, r.id), artifacts.goscan_defs(doc, r.id)
-                refs, defs = (a, b) if refs is None else (refs.union(a), defs.union(b))
-            return scoring.truth_go(refs, pub.where("ecosystem = 'go'").select("dst_repo", "name"), defs)
+            scan = self._goscan(name, goscan_dir)
+            return scoring.truth_go(artifacts.goscan_refs(scan), pub.where("ecosystem = 'go'").select("dst_repo", "name"), artifacts.goscan_defs(scan))
         stated = written(pysource.statements(self.sources(name, "*.py")), "statements")
         surface = pysource.importable(stated).select(F.col("repo").alias("dst_repo"), "symbol")
         return scoring.truth_python(pysource.imported(stated), pub.where("ecosystem = 'python'").select("dst_repo", "name"), surface)
