@@ -156,6 +156,7 @@ def ordered(wanted, tables: dict[str, str]) -> list[str]:
 
 
 _graphs: dict = {}
+_frames: dict = {}
 
 
 def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -168,13 +169,21 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return frames
 
 
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """derive's result, kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _frames:
+        _frames[key] = derive(spark, sf_dir)
+    return _frames[key]
+
+
 def _array(name: str = "ext"):
     return F.when(F.col(name) != "", F.split(name, ",")).otherwise(F.array().cast("array<string>"))
 
 
 def build(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph with its derived edges; not linked again for later queries of a session."""
-    t = derive(spark, sf_dir)
+    t = tables(spark, sf_dir)
     g = Graph(spark)
     ext = _array().alias("extractors")
     g["Repo"] = t["a_repo"].select("id", "name", "url", F.col("commit_id").alias("commit"), "ecosystem", "corpus", ext)

@@ -107,7 +107,7 @@ def full(sql: str, recursive: str = "") -> str:
     ctes = [f"{n} AS MATERIALIZED ({tables[n]})" for n in known]
     if recursive:
         ctes.append(recursive)
-    text = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + sql
+    text = (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" if ctes else "") + sql
     for n in set(names_in(text)):
         text = text.replace("{" + n + "}", n)
     return text

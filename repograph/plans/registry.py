@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from repograph.operators import link, traverse
-from repograph.plans import adapter, named, oracles, scoring, vulnerabilities
+from repograph.plans import adapter, extracts, named, oracles, scoring, vulnerabilities
 
 CORPUS = "ASIA"
 _derived: dict = {}
@@ -133,8 +133,8 @@ def queries() -> dict:
     }
     for name in named.PROJECTIONS:
         q[f"g09_scc_{name}"] = lambda s, d, n=name: named.cycle_members(_graph(s, d), n).select("id", "component", "repo")
-    return q
+    return q | extracts.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.build()
+    return oracles.build() | extracts.oracle_sql()

@@ -121,6 +121,38 @@ def test_cycle_scores(engine, spark):
     assert [tuple(r) for r in scoring.cycle_scores(found, spark.createDataFrame([("m",)], "module string")).collect()] == [("arm", 2, 1, 1, 0.5, 1.0)]
 
 
+def test_several_artifacts_scans_and_provenance(spark, tmp_path):
+    """Two Go repositories' databases and scans at once; the commit that an artifact was made of comes before the locked one."""
+    import sqlite3
+
+    config = "corpora:\n  g:\n    ecosystem: go\n    repos:\n" + "".join(f'      - {{id: {r}, url: "https://h/o/{r}", publishes: [x/{r}]}}\n' for r in ("kit", "app"))
+    for r, name in (("kit", "Open"), ("app", "main")):
+        at = tmp_path / "artifacts" / "codegraph" / "g" / r
+        at.mkdir(parents=True)
+        with sqlite3.connect(str(at / "codegraph.db")) as c:
+            c.execute("CREATE TABLE nodes (id TEXT, kind TEXT, name TEXT, qualified_name TEXT, file_path TEXT, start_line INT, end_line INT, docstring TEXT, signature TEXT)")
+            c.execute("CREATE TABLE edges (source TEXT, target TEXT, kind TEXT, line INT, provenance TEXT)")
+            c.execute("CREATE TABLE files (path TEXT, language TEXT)")
+            c.execute("CREATE TABLE unresolved_refs (reference_name TEXT, file_path TEXT, line INT)")
+            c.execute("INSERT INTO nodes VALUES ('n', 'function', ?, ?, 'kv/a.go', 1, 2, NULL, NULL)", (name, name))
+            c.execute("INSERT INTO files VALUES ('kv/a.go', 'go')")
+    (tmp_path / "artifacts" / "codegraph" / "g" / "kit" / "provenance.json").write_text(json.dumps({"commit": "own"}))
+    scans = tmp_path / "scans" / "g"
+    scans.mkdir(parents=True)
+    (scans / "kit.json").write_text(json.dumps({"refs": [], "defs": [{"file": "kv/a.go", "name": "Open"}]}))
+    (scans / "app.json").write_text(json.dumps({"refs": [{"file": "kv/a.go", "module": "x/kit/kv", "symbol": "Open", "line": 4}], "defs": []}))
+    (tmp_path / "sources").mkdir()
+    (tmp_path / "sources" / "kit").mkdir()
+    (tmp_path / "sources" / "kit" / "go.mod").write_text("module x/kit\n")
+    e = Engine(spark, config, str(tmp_path / "artifacts"), str(tmp_path / "sources"))
+    assert e.load("g", "codegraph", "g:\n  kit: {url: u, sha: locked}\n  app: {url: u, sha: locked}\n")["repos"] == 2
+    assert {r.name: r.commit for r in e.graph["Repo"].collect()} == {"kit": "own", "app": "locked"}
+    assert {r.id for r in e.graph["Symbol"].collect()} == {"sym:repo:h/o/kit:kv/a.go#Open", "sym:repo:h/o/app:kv/a.go#main"}
+    e.enrich("g", str(tmp_path / "scans"))
+    assert [(r.src, r.dst) for r in e.graph["IMPORTS_EXT"].collect()] == [("file:repo:h/o/app:kv/a.go", "ext:go:x/kit/kv#Open")]
+    assert [tuple(r) for r in e.truth("g", str(tmp_path / "scans")).collect()] == [("repo:h/o/app", "kv/a.go", "repo:h/o/kit", "Open")]
+
+
 def test_streamed_batches_merge(spark, tmp_path):
     source, folder = tmp_path / "in", str(tmp_path / "graph")
     source.mkdir()
