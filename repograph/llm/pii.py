@@ -4,11 +4,17 @@ High-recall generators propose spans, overlapping ones too. Base kinds are check
 by their format (parts of an address, digits of a number, check digit) and always
 stay. Candidates of the wide generators get features of their format and context.
 Those that overlap a base span are known positives; the others are unlabelled, personal
-or not. Boosted trees, fitted on half of a bounded sample, tell known from unlabelled. The
-other half calibrates: where the trees give the known ones c on average, an unlabelled
-candidate with score p is personal with probability (1 - c) / c * p / (1 - p) (Elkan and
-Noto, 2008), and the threshold is the least above which a share PRECISION of the unlabelled
-is personal, in expectation. Those are added. The trees are one SQL expression.
+or not. Boosted trees, fitted on all candidates, tell known from unlabelled. All candidates
+calibrate too, each by trees fitted on the half that it isn't in: where those give the known
+ones c on average, an unlabelled candidate with score p is personal with probability
+(1 - c) / c * p / (1 - p) (Elkan and Noto, 2008), and the threshold is the least above which
+a share PRECISION of the unlabelled is personal, in expectation. Those are added. The trees
+are one SQL expression.
+
+The fit reads no sample: a feature's cuts are quantiles of all its values, and candidates
+with the same bins are one row with their numbers. Boosting asks only for sums by feature
+and bin. Up to DRIVER such rows they come from arrays on the driver, beyond it each level
+of a tree is a job. Sums and scores are whole numbers, so both give the same trees.
 
 Positions come without a Python function: splitting a text by a pattern gives the
 parts around its matches, and a running sum of lengths over (document, kind) gives
@@ -17,9 +23,9 @@ with a little context are shuffled, by document, so a text's size or a hot sourc
 doesn't matter.
 
 Defined cases: a null text is empty; documents without a candidate have empty
-spans; repeated rows give repeated results; a sample without both labels adds
+spans; repeated rows give repeated results; a half without both labels adds
 nothing; an empty table gives an empty result; other columns are ignored. Results don't
-depend on how rows lie: the sample is ordered by what candidates are, not by place.
+depend on how rows lie: a candidate's half is by what it is, not by place.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from repograph.llm.common import enough, share_of, written
+from repograph.llm.common import discard, written
 
 _LOCAL, _NAME = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: The base kinds in order. Each finds the same matches as its contract's pattern: a match
@@ -51,11 +57,17 @@ WIDE = {
 HINT = {"email": "@", "phone": "+", "mail": "at"}
 CONTEXT = 24
 CUES = r"(?i)(tel|phone|fon|call|mobil|fax|card|karte|carte|tarjeta|iban|konto|account|ssn|mail|contact)"
-#: Bounds of the fit: candidates in the sample, trees, their step, rows of a leaf at least.
-SAMPLE = 20_000
+#: Trees, their step, rows of a leaf at least, the score of a leaf at most, cuts of a feature (bins take four bits).
 TREES = 24
 STEP = 0.3
 LEAF = 5
+MOST = 4
+CUTS = 15
+#: Whole numbers for one: of scores, of probabilities.
+UNIT = 1 << 10
+ONE = 1 << 20
+#: Rows of equal bins that are summed on the driver; more are summed by jobs.
+DRIVER = 100_000
 #: Share of the added ones that must be right, in expectation.
 PRECISION = 0.95
 FEATURES = ("n_digits", "n_chars", "n_gaps", "n_dots", "n_parens", "n_dashes", "cue", "word_before", "word_after", "luhn", "generator", "first")
@@ -148,100 +160,184 @@ def spans(found: DataFrame) -> DataFrame:
         "luhn": luhn(digits).cast("int"), "generator": F.array_position(F.lit(known), F.col("kind")).cast("int"),
         "first": F.coalesce(F.try_to_number(F.left(digits, F.lit(1)), F.lit("9")).cast("int"), F.lit(-1)),
     }
-    # what a candidate is, as a number: orders the sample
-    own = F.xxhash64("doc_id", "kind", "start", "match", "before", "after")
-    return each.select("place", "kind", "start", "stop", "base", hit.alias("hit"), own.alias("own"), *(F.when(~F.col("base"), values[f]).alias(f) for f in FEATURES))
+    # by what a candidate is
+    half = F.pmod(F.xxhash64("doc_id", "kind", "start", "match", "before", "after"), F.lit(2)).cast("int")
+    return each.select("place", "kind", "start", "stop", "base", hit.alias("hit"), half.alias("half"), *(F.when(~F.col("base"), values[f]).alias(f) for f in FEATURES))
+
+
+def cuts(wide: DataFrame) -> list[list[int]]:
+    """Each feature's quantiles over all candidates, at most CUTS: a candidate's bin is the number of cuts below its value."""
+    each = wide.select(F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).cast("long").alias("v")) for i, c in enumerate(FEATURES)))).alias("x"))
+    # as many values as the longest match is long at most, so a feature fits a window
+    values = each.groupBy("x.f", "x.v").agg(F.count("*").alias("n"))
+    own = W.partitionBy("f")
+    values = values.select("f", "v", "n", F.sum("n").over(own).alias("all"), F.sum("n").over(own.orderBy("v")).alias("upto"))
+    rank = lambda k: F.floor(k * (F.col("all") - 1) / (CUTS + 1))
+    met = F.exists(F.sequence(F.lit(1), F.lit(CUTS)), lambda k: (rank(k) >= F.col("upto") - F.col("n")) & (rank(k) < F.col("upto")))
+    out: list[list[int]] = [[] for _ in FEATURES]
+    for r in values.where(met).select("f", "v").orderBy("f", "v").collect():
+        out[r["f"]].append(r["v"])
+    return out
+
+
+def code(at: list[list[int]]) -> Column:
+    """A candidate's bins in one number, four bits each."""
+    bins = (sum(((F.col(c) > v).cast("long") for v in values), F.lit(0).cast("long")) for c, values in zip(FEATURES, at))
+    return sum((F.shiftleft(b, 4 * i) for i, b in enumerate(bins)), F.lit(0).cast("long"))
+
 
+def grouped(wide: DataFrame) -> DataFrame:
+    """All candidates, one row for each code and half: hits and others."""
+    return wide.groupBy("code", "half").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("others"))
 
-def fit(rows: list) -> tuple[list, float] | None:
-    """Boosted trees of depth two and a threshold, from (features..., hit) rows on the driver.
 
-    A tree is (feature, cut, left, right); left (value <= cut) and right are (feature, cut, low, high)."""
+def _bin(f: int) -> Column:
+    return F.shiftright("code", 4 * f).bitwiseAND(F.lit(15).cast("long"))
+
+
+def score(trees: list) -> Column:
+    """Of the column code, in UNITs."""
+    def node(f, b, low, high):
+        return low if b == CUTS else F.when(_bin(f) <= b, low).otherwise(high)
+
+    out = F.lit(0)
+    for f, b, left, right in trees:
+        out = out + node(f, b, *(node(*x[:2], F.lit(x[2]), F.lit(x[3])) for x in (left, right)))
+    return out
+
+
+def _on_driver(groups: DataFrame) -> tuple:
+    """sums(trees, half or None, split or None): of the rows' numbers, gradients and curvatures by node, feature and
+    bin, before a split or on its sides. tally(trees by half): (score by the other half's trees, hits, others)."""
     import numpy as np
 
-    x = np.array([[r[f] for f in FEATURES] for r in rows], dtype=np.float64).reshape(-1, len(FEATURES))
-    y = np.array([bool(r["hit"]) for r in rows], dtype=np.float64)
-    learn, check = np.arange(len(y)) % 2 == 0, np.arange(len(y)) % 2 == 1
-    if len(set(y[learn])) < 2 or len(set(y[check])) < 2:
-        return None
-    xs, ys = x[learn], y[learn]
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 17)[1:-1], method="lower")) for c in xs.T]
-
-    def leaf(g, h):
-        return float(STEP * g.sum() / (h.sum() + 1))
-
-    def split(inside, g, h):
-        total_g, total_h = g[inside].sum(), h[inside].sum()
-        none = (0, float("inf"))  # all go left
-        best, gain = none, total_g * total_g / (total_h + 1)
-        gain += 1e-6 * (1 + gain)
-        for f, options in enumerate(cuts):
-            for c in options:
-                low = inside & (xs[:, f] <= c)
-                if not LEAF <= low.sum() <= inside.sum() - LEAF:
-                    continue
-                a, b = g[low].sum(), h[low].sum()
-                now = a * a / (b + 1) + (total_g - a) ** 2 / (total_h - b + 1)
-                if now > gain:
-                    best, gain = (f, float(c)), now * (1 + 1e-9)
-        return best
-
-    trees, score = [], np.zeros(len(ys))
+    rows = np.array([tuple(r) for r in groups.select("code", "half", "hits", "others").collect()], dtype=np.int64)
+    codes, half, hits, others = rows.T
+    bins = [codes >> 4 * f & 15 for f in range(len(FEATURES))]
+
+    def scores(trees):
+        out = np.zeros(len(codes), np.int64)
+        for f, b, left, right in trees:
+            low, high = (np.where(bins[f2] <= b2, lo, hi) for f2, b2, lo, hi in (left, right))
+            out += np.where(bins[f] <= b, low, high)
+        return out
+
+    def sums(trees, fold, split):
+        p = np.rint(ONE / (1 + np.exp(scores(trees) / -float(UNIT)))).astype(np.int64)
+        n = (hits + others) * (True if fold is None else half == fold)
+        g = (hits * (ONE - p) - others * p) * (n > 0)
+        h = n * (p * (ONE - p) // ONE)
+        node = np.zeros_like(codes) if split is None else (bins[split[0]] > split[1]).astype(np.int64)
+        out = np.zeros((2, len(FEATURES), CUTS + 1, 3), np.int64)
+        for f, own in enumerate(bins):
+            np.add.at(out[:, f], (node, own), np.stack([n, g, h], axis=1))
+        return out
+
+    def tally(trees):
+        own = np.where(half == 0, scores(trees[1]), scores(trees[0]))
+        found, where = np.unique(own, return_inverse=True)
+        out = np.zeros((len(found), 2), np.int64)
+        np.add.at(out, where, np.stack([hits, others], axis=1))
+        return np.column_stack([found, out])
+
+    return sums, tally
+
+
+def _by_jobs(groups: DataFrame) -> tuple:
+    """The same; a job sends at most 2 * features * bins rows, tally's one for each score (below 2 * MOST * TREES * UNIT)."""
+    import numpy as np
+
+    def sums(trees, fold, split):
+        mine = groups if fold is None else groups.where(F.col("half") == fold)
+        p = F.rint(ONE / (1 + F.exp(score(trees) / F.lit(-float(UNIT))))).cast("long")
+        mine = mine.withColumn("p", p).withColumn("n", F.col("hits") + F.col("others"))
+        g = F.col("hits") * (ONE - F.col("p")) - F.col("others") * F.col("p")
+        h = F.col("n") * F.floor(F.col("p") * (ONE - F.col("p")) / ONE)
+        node = F.lit(0) if split is None else (_bin(split[0]) > split[1]).cast("int")
+        own = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), _bin(f).alias("b")) for f in range(len(FEATURES)))))
+        each = mine.select(node.alias("node"), "n", g.alias("g"), h.alias("h"), own.alias("x"))
+        out = np.zeros((2, len(FEATURES), CUTS + 1, 3), np.int64)
+        for r in each.groupBy("node", "x.f", "x.b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            out[r["node"], r["f"], r["b"]] = r["n"], r["g"], r["h"]
+        return out
+
+    def tally(trees):
+        own = F.when(F.col("half") == 0, score(trees[1])).otherwise(score(trees[0]))
+        rows = groups.groupBy(own.alias("s")).agg(F.sum("hits").alias("hits"), F.sum("others").alias("others")).orderBy("s").collect()
+        return np.array([tuple(r) for r in rows], dtype=np.int64)
+
+    return sums, tally
+
+
+def _split(table) -> tuple:
+    """The best (feature, bin) to go left up to, or one that all go left by, from sums by feature and bin."""
+    import numpy as np
+
+    low = table.cumsum(axis=1)
+    high = low[:, -1:] - low
+    gain = lambda t: (t[..., 1] / ONE) ** 2 / (t[..., 2] / ONE + 1)
+    now = np.where((low[..., 0] >= LEAF) & (high[..., 0] >= LEAF), gain(low) + gain(high), -1.0)
+    none, best = gain(low[0, -1]), np.unravel_index(now.argmax(), now.shape)
+    return tuple(map(int, best)) if now[best] > none + 1e-6 * (1 + none) else (0, CUTS)
+
+
+def _leaf(sums) -> int:
+    _, g, h = (int(x) for x in sums)
+    return round(max(-MOST, min(MOST, STEP * g / (h + ONE))) * UNIT)
+
+
+def boost(sums, half: int | None) -> list:
+    """Trees of depth two over a half, or over all candidates: (feature, bin, left, right); left (up to that bin)
+    and right are (feature, bin, low, high)."""
+    trees: list = []
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-score))
-        g, h = ys - p, p * (1 - p)
-        f, c = split(np.ones(len(ys), bool), g, h)
-        tree = [f, c]
-        for side in (xs[:, f] <= c, xs[:, f] > c):
-            f2, c2 = split(side, g, h)
-            low, high = side & (xs[:, f2] <= c2), side & (xs[:, f2] > c2)
-            values = leaf(g[low], h[low]), leaf(g[high], h[high])
-            score[low] += values[0]
-            score[high] += values[1]
-            tree.append((f2, c2, *values))
+        f, b = _split(sums(trees, half, None)[0])
+        tree = [f, b]
+        for side in sums(trees, half, (f, b)):
+            f2, b2 = _split(side)
+            tree.append((f2, b2, _leaf(side[f2, : b2 + 1].sum(axis=0)), _leaf(side[f2, b2 + 1 :].sum(axis=0))))
         trees.append(tuple(tree))
-    held = np.array([sum(_walk(t, row) for t in trees) for row in x[check]])
-    order = np.argsort(-held, kind="stable")
-    p = np.clip(1 / (1 + np.exp(-held[order])), 1e-9, 1 - 1e-9)
-    known = y[check][order]
-    c = min(p[known > 0].mean(), 1 - 1e-9)
-    hidden = np.minimum(1, (1 - c) / c * p / (1 - p))
-    unlabelled = np.cumsum(known == 0)
-    right = np.where(unlabelled > 0, np.cumsum(np.where(known > 0, 0, hidden)) / np.maximum(unlabelled, 1), 1)
-    ends = np.append(held[order][:-1] != held[order][1:], True)  # a threshold takes equal scores together
-    good = np.nonzero((right >= PRECISION) & ends)[0]
-    if not len(good):
-        return None
-    last, scores = good[-1], held[order]
-    below = scores[last + 1] if last + 1 < len(scores) else scores[last]
-    return trees, float(scores[last] + below) / 2
+    return trees
 
 
-def _walk(tree, row) -> float:
-    f, c, left, right = tree
-    f2, c2, low, high = left if row[f] <= c else right
-    return low if row[f2] <= c2 else high
+def threshold(tally) -> int | None:
+    """Twice the least score to add, from (score, hits, others) of all candidates."""
+    import numpy as np
 
+    scores, known, others = tally[np.argsort(-tally[:, 0])].T
+    p = np.clip(1 / (1 + np.exp(scores / -float(UNIT))), 1e-9, 1 - 1e-9)
+    c = min((p * known).sum() / known.sum(), 1 - 1e-9)
+    hidden = np.minimum(1, (1 - c) / c * p / (1 - p))
+    unlabelled = np.cumsum(others)
+    right = np.where(unlabelled > 0, np.cumsum(others * hidden) / np.maximum(unlabelled, 1), 1)
+    good = np.nonzero(right >= PRECISION)[0]
+    if not len(good):
+        return None
+    last = good[-1]
+    return int(scores[last] + scores[min(last + 1, len(scores) - 1)])
 
-def score(trees: list) -> Column:
-    def node(f, c, low, high):
-        return low if c == float("inf") else F.when(F.col(FEATURES[f]) <= c, low).otherwise(high)
 
-    out = F.lit(0.0)
-    for f, c, left, right in trees:
-        out = out + node(f, c, node(*left[:2], F.lit(left[2]), F.lit(left[3])), node(*right[:2], F.lit(right[2]), F.lit(right[3])))
-    return out
+def fit(groups: DataFrame) -> tuple[list, int] | None:
+    """Trees fitted on all candidates, and twice the least score to add."""
+    halves = groups.groupBy("half").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"), F.sum("others").alias("others")).collect()
+    if len(halves) < 2 or not all(r["hits"] and r["others"] for r in halves):
+        return None
+    sums, tally = (_on_driver if sum(r["n"] for r in halves) <= DRIVER else _by_jobs)(groups)
+    least = threshold(tally([boost(sums, half) for half in (0, 1)]))
+    return None if least is None else (boost(sums, None), least)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
     found = candidates(docs)
-    each = written(spans(found), "spans")
-    wide = each.where(~F.col("base"))
-    few = wide.where(share_of(F.col("own")) <= enough(SAMPLE, wide.count()))
-    sample = few.orderBy("own", "hit", *FEATURES).limit(SAMPLE)
-    model = fit(sample.select(*FEATURES, "hit").collect())  # at most SAMPLE rows of numbers
-    chosen = ~F.col("hit") & (F.round(score(model[0]), 9) >= round(model[1], 9)) if model else F.lit(False)
+    featured = written(spans(found), "spans")
+    # written, as a score names the code many times
+    each = written(featured.withColumn("code", code(cuts(featured.where(~F.col("base"))))).drop(*FEATURES), "codes")
+    discard(featured)
+    groups = written(grouped(each.where(~F.col("base"))), "groups")
+    model = fit(groups)
+    discard(groups)
+    chosen = ~F.col("hit") & (score(model[0]) * 2 >= model[1]) if model else F.lit(False)
     kinds = F.create_map(*(F.lit(x) for i, k in enumerate([*BASE, *WIDE]) for x in (k, i)))
     said = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("stop").cast("string"))
     item = F.struct(kinds[F.col("kind")].alias("k"), F.col("start"), F.col("base"), said.alias("said"))

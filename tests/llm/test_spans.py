@@ -110,6 +110,63 @@ def test_pii_learns_to_add(spark):
     assert sum("digits:" in got[i].spans for i in range(1500)) < 30
 
 
+def test_pii_fits_on_all_candidates(spark):
+    """A form that only 30 of 200,000 candidates have is learnt; a sample of 20,000 holds about three."""
+    import random
+
+    r = random.Random(3)
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    rows = [(i, "orders " + " x ".join(digits(8) for _ in range(500))) for i in range(200)]
+    rows += [(1000 + i, f"tel +1 ({digits(3)}) {digits(3)}-{digits(4)} words") for i in range(30)]
+    rows.append((9000, "call (212) 555-0199 please"))
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[9000].spans == "number:5:19" and got[9000].n_added == 1
+    assert not any(got[i].spans for i in range(200))
+
+
+def test_pii_cuts_and_numbers_are_of_all_candidates(tricky):
+    import numpy as np
+
+    wide = pii.spans(pii.candidates(tricky[1])).where(~F.col("base")).cache()
+    rows = wide.collect()
+    at = pii.cuts(wide)
+    for f, cuts in zip(pii.FEATURES, at):
+        assert cuts == sorted(set(np.quantile([x[f] for x in rows], np.arange(1, 16) / 16, method="lower")))
+    bins = [[sum(x[f] > c for c in cuts) for f, cuts in zip(pii.FEATURES, at)] for x in rows]
+    want = Counter((sum(b << 4 * i for i, b in enumerate(bs)), x.half, x.hit) for bs, x in zip(bins, rows))
+    got = Counter()
+    for g in pii.grouped(wide.withColumn("code", pii.code(at))).collect():
+        got.update({(g.code, g.half, True): g.hits, (g.code, g.half, False): g.others})
+    assert +got == want and sum(want.values()) == len(rows)
+
+
+def test_pii_fits_alike_by_arrays_and_by_jobs(spark, monkeypatch):
+    import random
+
+    r = random.Random(11)
+    rows = {}
+    for _ in range(600):
+        bins = [r.randrange(16) if f in (0, 1, 11) else r.randrange(2) for f in range(len(pii.FEATURES))]
+        known = bins[0] > 9 and bins[11] < 8
+        code, half = sum(b << 4 * f for f, b in enumerate(bins)), r.randrange(2)
+        rows[code, half] = (code, half, r.randrange(1, 9) if known else 0, int(r.random() < 0.1) if known else r.randrange(1, 9))
+    groups = spark.createDataFrame(list(rows.values()), "code long, half int, hits long, others long").cache()
+    arrays, jobs = pii._on_driver(groups), pii._by_jobs(groups)
+    numbers = Counter()
+    for code, _, hits, others in rows.values():
+        numbers.update({(f, code >> 4 * f & 15): hits + others for f in range(len(pii.FEATURES))})
+    assert {(f, b): arrays[0]([], None, None)[0, f, b, 0] for f, b in numbers} == numbers
+    monkeypatch.setattr(pii, "TREES", 3)
+    one = pii.fit(groups)
+    assert one and any(b < pii.CUTS for _, b, *_ in one[0])
+    trees = [pii.boost(arrays[0], half) for half in (0, 1)]
+    assert (arrays[1](trees) == jobs[1](trees)).all()
+    for fold, split in ((None, None), (0, (0, 9)), (1, (11, 7))):
+        assert (arrays[0](one[0], fold, split) == jobs[0](one[0], fold, split)).all()
+    monkeypatch.setattr(pii, "DRIVER", 0)
+    assert pii.fit(groups) == one
+
+
 def test_empty(no_docs):
     assert pii.find(no_docs).count() == 0
     assert secret_scan.scan(no_docs, F.col("source"), F.col("source")).count() == 0
